@@ -24,4 +24,26 @@ m AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op8_quality_rules": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) > 4)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), LATERAL (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
+m AS (SELECT doc_id, t, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+    length(regexp_replace(t, '[^\pL]+', '', 'g')) AS letters FROM t),
+f AS (SELECT m.*, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars > 25 * n_words OR 10 * word_chars < 15 * n_words OR 4 * n_symbols > n_words OR 2 * n_dup_lines > len(l)
+    OR 2 * letters < word_chars OR 2 * len(list_filter(w, lambda x: starts_with(x, 'http://') OR starts_with(x, 'https://'))) > n_words) AS kept
+FROM b""",
+    "op9_chat_formatting": """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS o FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+p AS (SELECT conv_id, o, turn // 256 AS part, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS s FROM t),
+q AS (SELECT conv_id, o, sha256(string_agg(s, '' ORDER BY o) OVER (PARTITION BY conv_id ORDER BY o ROWS UNBOUNDED PRECEDING)) AS h, count(*) OVER (PARTITION BY conv_id) AS n FROM p),
+w AS (SELECT min(conv_id) AS conv_id, n, h, count(*) AS n_same FROM q WHERE o = n GROUP BY n, h),
+k AS (SELECT * FROM w ANTI JOIN (SELECT o AS n, h FROM q WHERE o < n) USING (n, h))
+SELECT conv_id, part::BIGINT AS part, n::BIGINT AS n_turns, n_same::BIGINT AS n_same, string_agg(s, '' ORDER BY o) AS rendered
+FROM p JOIN k USING (conv_id) GROUP BY conv_id, part, n, n_same""",
 }

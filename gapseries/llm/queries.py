@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, packing, warc
+from . import chat, common, decontaminate, langid, packing, quality, spans, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,12 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(records)
 
 
+def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text (what is left), n_chars of it, n_sentences, n_removed, n_spans (removed stretches)."""
+    out = spans.dedup(table(spark, sf_dir, "documents"))
+    return out.select("_row.doc_id", F.col("_kept_text").alias("text"), F.length("_kept_text").cast("long").alias("n_chars"), "n_sentences", "n_removed", "n_spans")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summarize(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +45,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents")).select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_warc_salvage, op4_benchmark_decontamination, op7_language_id)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_warc_salvage, op3_sentence_span_dedup, op4_benchmark_decontamination, op7_language_id,
+        op8_quality_rules, op9_chat_formatting,
+    )
 }
