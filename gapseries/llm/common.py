@@ -68,6 +68,29 @@ def without(docs: DataFrame, bad: DataFrame, keys: list[Column]) -> DataFrame:
     return unpacked(marked.join(broadcast_if(bad, bad.count(), BROADCAST_KEYS), ["_d", "_k"], "left_anti"), docs)
 
 
+#: Bits of the lookup that tells tasks which keys may matter; a fuller one lets more through, never less.
+FILTER_BITS = 1 << 27
+
+
+def key_filter(keys: DataFrame, key: Column, n: int):
+    """Broadcast bit set (at most 16 MB) of a long column's values modulo its size, put together by Spark."""
+    bits = min(FILTER_BITS, 1 << max(16, (8 * max(n, 1)).bit_length()))
+    v = F.pmod(key, F.lit(bits))
+    rows = keys.select((v + 1).alias("v")).groupBy(F.expr("bitmap_bucket_number(v)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(v))").alias("m")).collect()
+    out = np.zeros(bits // 8 + 4096, np.uint8)
+    for b, m in rows:  # these functions count from 1
+        at = (b - 1) * 4096
+        out[at : at + len(m)] = np.frombuffer(bytes(m), np.uint8)
+    return keys.sparkSession.sparkContext.broadcast((bits, out))
+
+
+def may_hold(lookup, keys: np.ndarray) -> np.ndarray:
+    """Of each long whether it may be in a broadcast key_filter."""
+    bits, m = lookup.value
+    v = keys.astype(np.int64) & np.int64(bits - 1)
+    return (m[v >> 3] >> (v & 7).astype(np.uint8)) & 1 == 1
+
+
 def _random(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

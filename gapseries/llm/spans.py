@@ -55,8 +55,9 @@ def runs(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def run_hashes(docs: DataFrame, keys: list[Column], text_col: str) -> DataFrame:
-    """_d, _k, i (first sentence), h1, h2 of every run of every text; the words decide, so space and breaks do not count."""
+def run_hashes(docs: DataFrame, keys: list[Column], text_col: str, lookup=None) -> DataFrame:
+    """_d, _k, i (first sentence), h1, h2 of every run of every text (with lookup, of those whose h1 it may hold); the words
+    decide, so space and breaks do not count."""
 
     def one(batches):
         for b in batches:
@@ -69,8 +70,12 @@ def run_hashes(docs: DataFrame, keys: list[Column], text_col: str) -> DataFrame:
                     at += [i for i, _, _ in found]
                     hashes += [xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for _, _, s in found]
                 h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                counts = np.array(n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(n)), b.column(1).slice(lo, len(n)), common.list_array(np.array(at, np.int32), counts, pa.int32()), common.list_array(h[:, 0], counts, pa.int64()), common.list_array(h[:, 1], counts, pa.int64())], names=["_d", "_k", "i", "h1", "h2"])
+                counts, at = np.array(n), np.array(at, np.int32)
+                if lookup is not None:
+                    keep = common.may_hold(lookup, h[:, 0])
+                    counts = np.bincount(np.repeat(np.arange(len(n)), counts)[keep], minlength=len(n))
+                    h, at = h[keep], at[keep]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(n)), b.column(1).slice(lo, len(n)), common.list_array(at, counts, pa.int32()), common.list_array(h[:, 0], counts, pa.int64()), common.list_array(h[:, 1], counts, pa.int64())], names=["_d", "_k", "i", "h1", "h2"])
 
     got = docs.select(*keys, F.col(text_col).alias("_t")).mapInArrow(one, "_d long, _k long, i array<int>, h1 array<long>, h2 array<long>")
     return got.select("_d", "_k", F.explode(F.arrays_zip("i", "h1", "h2")).alias("x")).select("_d", "_k", "x.i", "x.h1", "x.h2")
@@ -79,12 +84,15 @@ def run_hashes(docs: DataFrame, keys: list[Column], text_col: str) -> DataFrame:
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_d, _k, starts: the runs of each document that occur earlier, in a document with a smaller id or further up in the same.
 
-    Runs are counted by hash within tasks before the shuffle, so copies by the thousand cost one row a task.
+    Runs are counted by hash within tasks before the shuffle, so copies by the thousand cost one row a task. Only runs that may
+    be repeated (by a bit set of bounded size) are dealt out a second time.
     """
-    spans = run_hashes(docs, common.doc_keys(id_col, text_col), text_col)
+    keys = common.doc_keys(id_col, text_col)
+    spans = run_hashes(docs, keys, text_col)
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("_d", "_k", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
     first = common.materialize(first, "runs")
-    later = spans.join(first, ["h1", "h2"]).filter(F.struct("_d", "_k", "i") != F.col("first"))
+    lookup = common.key_filter(first, F.col("h1"), first.count())
+    later = run_hashes(docs, keys, text_col, lookup).join(first, ["h1", "h2"]).filter(F.struct("_d", "_k", "i") != F.col("first"))
     return common.materialize(later.groupBy("_d", "_k").agg(F.sort_array(F.collect_set("i")).alias("starts")), "repeated")
 
 
