@@ -18,7 +18,7 @@ from . import common
 #: their checksum, and after twice LONG_WORDS at the latest.
 RUN_SENTENCES, RUN_WORDS, LONG_WORDS, CUT = 2, 10, 30, 8
 #: Documents with removals, and removed runs, up to which the removals are broadcast to the texts.
-BROADCAST_DOCS, BROADCAST_RUNS = 100_000, 2_000_000
+BROADCAST_DOCS, BROADCAST_RUNS = 10_000, 200_000
 
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)")
 
