@@ -134,15 +134,20 @@ def _bounds(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(sorted_rows: DataFrame) -> DataFrame:
-    """Of leading entries that another row shares: h, node, n, place, lead, lead_n (the least row of a size that can be linked)."""
+    """Of leading entries that another row shares: h, node, n, place, and the rows to try first: lead (the least of a size that
+    can be linked) and prev (the next smaller), or node itself where sizes and places leave no link."""
 
     def run(batches):
         for h, n, node, place in _whole_runs(batches, ["h", "n", "node", "place"]):
             r, lo = _bounds(h, n)
-            many = np.bincount(r)[r] > 1
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (h, n, node, place, node[lo], n[lo])], names=["h", "n", "node", "place", "lead", "lead_n"])
+            many, here = np.bincount(r)[r] > 1, np.arange(len(h))
+            cols = [h, n, node, place]
+            for i in (lo, np.maximum(lo, here - 1)):
+                i = np.where(_DEN * np.minimum(n - place, n[i] - place[i]) >= _NUM * (n[i] + n), i, here)
+                cols += [node[i], n[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in cols], names=["h", "n", "node", "place", "lead", "lead_n", "prev", "prev_n"])
 
-    return sorted_rows.mapInArrow(run, "h long, n long, node long, place long, lead long, lead_n long")
+    return sorted_rows.mapInArrow(run, "h long, n long, node long, place long, lead long, lead_n long, prev long, prev_n long")
 
 
 def _cross(sorted_rows: DataFrame) -> DataFrame:
@@ -157,8 +162,7 @@ def _cross(sorted_rows: DataFrame) -> DataFrame:
             for j in np.flatnonzero(mixed[r]):
                 i = np.arange(lo[j], j)
                 i = i[comp[i] != comp[j]]
-                rest = 1 + np.minimum(n[j] - place[j], n[i] - place[i]) - 1
-                i = i[_DEN * rest >= _NUM * (n[i] + n[j])]
+                i = i[_DEN * np.minimum(n[j] - place[j], n[i] - place[i]) >= _NUM * (n[i] + n[j])]
                 if len(i):
                     out.append((i, np.full(len(i), j)))
                     held += len(i)
@@ -210,7 +214,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     lead = _leading(docs, keys, text_col, k, counts).join(reps.select("_d", "_k"), ["_d", "_k"], "left_semi")
     rows = lead.select("node", "n", F.posexplode("grams").alias("place", "h")).select("h", "n", "node", F.col("place").cast("long").alias("place"))
     met = common.materialize(_meet(rows.repartition("h").sortWithinPartitions("h", "n", "node")), "leading")
-    first = met.filter("node <> lead").select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("lead").alias("b"), F.col("lead_n").alias("bn"))
+    tried = F.explode(F.array(F.struct(F.col("lead").alias("b"), F.col("lead_n").alias("bn")), F.struct("prev", "prev_n"))).alias("x")
+    first = met.select(F.col("node").alias("a"), F.col("n").alias("an"), tried).select("a", "an", "x.*").filter("a <> b")
     links = _counted(first, docs, keys, text_col, k, reps, "first")
     comp = graph.components(links)
     marked = met.join(comp, "node", "left").select("h", "n", "node", "place", F.coalesce("comp", "node").alias("comp"))
