@@ -214,7 +214,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     lead = _leading(docs, keys, text_col, k, counts).join(reps.select("_d", "_k"), ["_d", "_k"], "left_semi")
     rows = lead.select("node", "n", F.posexplode("grams").alias("place", "h")).select("h", "n", "node", F.col("place").cast("long").alias("place"))
     met = common.materialize(_meet(rows.repartition("h").sortWithinPartitions("h", "n", "node")), "leading")
-    tried = F.explode(F.array(F.struct(F.col("lead").alias("b"), F.col("lead_n").alias("bn")), F.struct("prev", "prev_n"))).alias("x")
+    tried = F.explode(F.array(F.struct(F.col("lead").alias("b"), F.col("lead_n").alias("bn")), F.struct(F.col("prev").alias("b"), F.col("prev_n").alias("bn")))).alias("x")
     first = met.select(F.col("node").alias("a"), F.col("n").alias("an"), tried).select("a", "an", "x.*").filter("a <> b")
     links = _counted(first, docs, keys, text_col, k, reps, "first")
     comp = graph.components(links)
