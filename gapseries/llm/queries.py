@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, jaccard, langid, packing, quality, spans, warc
+from . import chat, common, decontaminate, jaccard, langid, packing, quality, spans, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +57,14 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.summarize(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_warc_salvage, op3_sentence_span_dedup, op4_benchmark_decontamination, op6_ngram_jaccard_join,
-        op7_language_id,         op8_quality_rules, op9_chat_formatting,
+        op7_language_id,         op8_quality_rules, op9_chat_formatting, op10_suffix_array_dedup,
     )
 }
