@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, jaccard, langid, packing, quality, spans, suffixes, warc
+from . import chat, common, decontaminate, jaccard, langid, lm, packing, quality, spans, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.summarize(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.clusters(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_warc_salvage, op3_sentence_span_dedup, op4_benchmark_decontamination, op6_ngram_jaccard_join,
+        op1_best_fit_packing, op2_warc_salvage, op3_sentence_span_dedup, op4_benchmark_decontamination, op5_lm_scoring, op6_ngram_jaccard_join,
         op7_language_id,         op8_quality_rules, op9_chat_formatting, op10_suffix_array_dedup,
     )
 }
