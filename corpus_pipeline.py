@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapseries.llm import common, decontaminate, langid, packing
+from gapseries.llm import common, decontaminate, jaccard, langid, packing, spans
 from gapseries.llm.queries import table, tokenizer_path
 
 
@@ -15,6 +15,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near duplicates."""
+    return jaccard.keep_first(docs)
+
+
+def sentence_span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts runs of sentences that occur earlier."""
+    return spans.remove_repeats(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -27,6 +37,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("language_id", language_id),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("sentence_span_dedup", sentence_span_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
