@@ -1 +1 @@
-"""See the modules of this package."""
+"""Operators on panels, features and evaluation tables."""
