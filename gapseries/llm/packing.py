@@ -17,10 +17,6 @@ MAX_TOKENS, END_ID, SHARD_PIECES = 1024, 2, 4096
 #: Space-led parts whose ids a worker remembers; when full, rarer parts are encoded anew each time.
 CACHE_PARTS = 600_000
 
-_PIECES = 1024, 2, 4096
-#: Word pieces whose ids a worker remembers between documents.
-CACHE_PIECES = 400_000
-
 _PIECES = "_d long, piece int, start long, length long, ids_crc32 long, _shard int"
 #: A space after another character always begins a new part in the byte-level vocabulary's own pattern, so texts can be cut there.
 _CUT = re.compile(r"(?<=\S)(?= )")

@@ -69,6 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_warc_salvage, op3_sentence_span_dedup, op4_benchmark_decontamination, op5_lm_scoring, op6_ngram_jaccard_join,
-        op7_language_id,         op8_quality_rules, op9_chat_formatting, op10_suffix_array_dedup,
+        op7_language_id, op8_quality_rules, op9_chat_formatting, op10_suffix_array_dedup,
     )
 }
