@@ -13,7 +13,7 @@ from . import common
 
 DIMENSIONS, GRAM, LETTERS, DIRECT = 256, 3, 2048, 0x250
 UNKNOWN = "und"
-_SCALE, _BLOCK_CHARS, _HELD = 1 << 20, 1 << 20, 512
+_SCALE, _BLOCK_CHARS, _HELD = 1 << 20, 1 << 18, 96
 
 
 @cache
@@ -59,7 +59,7 @@ def _bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(texts: pa.Array):
-    """(first row, texts) of runs of rows of about a million characters; null: empty."""
+    """(first row, texts) of runs of rows of about a quarter of a million characters (counts of n-grams by text stay small); null: empty."""
     lo, held, size = 0, [], 0
     for x in texts:
         held.append(x.as_py() or "")
