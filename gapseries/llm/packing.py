@@ -39,14 +39,11 @@ def _byte_letters() -> dict[int, str]:
 class _Parts(dict):
     """Ids (little-endian unsigned 32-bit) of parts of texts, each with space before it where the key leaves it out."""
 
-    def __init__(self, path: str, space: str = " "):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, tokenizer, space: str = " "):
+        self.tokenizer = tokenizer
         self.merges, self.letters, self.space = self.tokenizer.model.tokenize, _byte_letters(), space
         self.mark = space.translate(self.letters)
-        self.plain = _Parts(path, "") if space else self
+        self.plain = _Parts(tokenizer, "") if space else self
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -66,7 +63,11 @@ class _Parts(dict):
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text; equal to encoding each text as a whole."""
     if path not in _loaded:
-        _loaded[path] = _Parts(path)
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        _loaded[path] = _Parts(tokenizer)
     known, out = _loaded[path], []
     plain = known.plain
     for text in texts:
