@@ -35,6 +35,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch. Texts may be long, and by Spark's own settings a batch of them may be of any size.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has settings of its own."""
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
 def broadcast_if(df: DataFrame, rows: int, bound: int) -> DataFrame:
     """Broadcast hint only where the counted rows are under the bound; else Spark shuffles (and AQE splits hot keys)."""
     return F.broadcast(df) if rows <= bound else df.hint("merge")

@@ -11,6 +11,7 @@ from . import chat, common, decontaminate, jaccard, langid, lm, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
