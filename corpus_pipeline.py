@@ -47,7 +47,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Language vectors, tokens and sequences are beyond SQL; tests hold the stages against brute force.
+#: Language vectors, tokens and sequences are beyond SQL; tests hold the operators against brute force.
 ORACLE_SQL = None
 
 
