@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,38 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
+#: What operators keep in a worker from task to task, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def _drop_others(keep: str | None) -> None:
+    for name, held in KEPT.items():
+        if name != keep:
+            held.clear()
+
+
+def _give_back() -> None:
+    """Freed memory back to the system: Arrow's, and the C library's where it has a call for that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], keep: str | None = None) -> Callable[[Iterator], Iterator]:
+    """run as a task that leaves little in its worker, which Spark uses again: it drops what other operators than keep have
+    kept there, and at its end hands freed memory back."""
+
+    def task(batches):
+        _drop_others(keep)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
 def broadcast_if(df: DataFrame, rows: int, bound: int) -> DataFrame:
     """Broadcast hint only where the counted rows are under the bound; else Spark shuffles (and AQE splits hot keys)."""
     return F.broadcast(df) if rows <= bound else df.hint("merge")

@@ -56,7 +56,7 @@ def _windows(items: DataFrame, id_col: str, text_col: str, window: int, k: int)
                     ids = b.column(0).take(pa.array(lo + doc))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.array(w.grams(n, at=at).view(np.int64)), pa.array(w.grams(n, common.GRAM2, at).view(np.int64)), pa.array(fp.view(np.int64), mask=size < window)], names=["item", "size", "h1", "h2", "fp"])
 
-    return items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("_t")).mapInArrow(run, "item long, size int, h1 long, h2 long, fp long")
+    return items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("_t")).mapInArrow(common.lean(run), "item long, size int, h1 long, h2 long, fp long")
 
 
 def _candidates(docs: DataFrame, keys: list[Column], text_col: str, window: int, k: int, sizes: list[int], lookup) -> DataFrame:
@@ -99,7 +99,7 @@ def _candidates(docs: DataFrame, keys: list[Column], text_col: str, window: int,
                 lists = [common.list_array(v, counts, t) for v, t in ((fps.view(np.int64), pa.int64()), (start - w.first[w.doc[start]] if len(start) else start, pa.int32()), (size, pa.int32()), (h1.view(np.int64), pa.int64()), (h2.view(np.int64), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, w.docs), b.column(1).slice(lo, w.docs), pa.array(w.count, pa.int64()), *lists], names=["_d", "_k", "n_words", "fps", "starts", "sizes", "h1", "h2"])
 
-    return docs.select(*keys, F.col(text_col).alias("_t")).mapInArrow(run, _FOUND)
+    return docs.select(*keys, F.col(text_col).alias("_t")).mapInArrow(common.lean(run), _FOUND)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, k: int = GRAM_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -62,7 +62,7 @@ def _scan(docs: DataFrame, keys: list[Column], text_col: str, make, schema: str,
         if last is not None:
             yield from last()
 
-    return docs.select(*keys, F.col(text_col).alias("_t")).mapInArrow(run, schema)
+    return docs.select(*keys, F.col(text_col).alias("_t")).mapInArrow(common.lean(run), schema)
 
 
 def _classes(docs: DataFrame, keys: list[Column], text_col: str, k: int) -> tuple[DataFrame, np.ndarray]:
@@ -147,7 +147,7 @@ def _meet(sorted_rows: DataFrame) -> DataFrame:
                 cols += [node[i], n[i]]
             yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in cols], names=["h", "n", "node", "place", "lead", "lead_n", "prev", "prev_n"])
 
-    return sorted_rows.mapInArrow(run, "h long, n long, node long, place long, lead long, lead_n long, prev long, prev_n long")
+    return sorted_rows.mapInArrow(common.lean(run), "h long, n long, node long, place long, lead long, lead_n long, prev long, prev_n long")
 
 
 def _cross(sorted_rows: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _cross(sorted_rows: DataFrame) -> DataFrame:
                 i, jj = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[jj], n[jj], node[i], n[i])], names=["a", "an", "b", "bn"])
 
-    return sorted_rows.mapInArrow(run, "a long, an long, b long, bn long")
+    return sorted_rows.mapInArrow(common.lean(run), "a long, an long, b long, bn long")
 
 
 def _counted(pairs: DataFrame, docs: DataFrame, keys: list[Column], text_col: str, k: int, reps: DataFrame, name: str) -> DataFrame:

@@ -97,7 +97,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
         if sums:
             yield out()
 
-    parts = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, text_col).mapInArrow(run, "lang string, v array<long>")
+    parts = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, text_col).mapInArrow(common.lean(run), "lang string, v array<long>")
     rows = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).collect()  # languages x dimensions
     found: dict[str, np.ndarray] = {}
     for r in rows:
@@ -126,7 +126,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: list[Co
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, len(texts)), pa.array(lang, pa.string()), pa.array(score)], names=["_c", "lang_pred", "score"])
 
     kind = rows.schema["_c"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"_c {kind}, lang_pred string, score double")
+    out = rows.mapInArrow(common.lean(run), f"_c {kind}, lang_pred string, score double")
     return out.select("_c.*", "lang_pred", "score")
 
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 MAX_TOKENS, END_ID, SHARD_PIECES = 1024, 2, 4096
 #: Space-led parts whose ids a worker remembers; when full, rarer parts are encoded anew each time.
 CACHE_PARTS = 600_000
@@ -21,6 +23,7 @@ _PIECES = "_d long, piece int, start long, length long, ids_crc32 long, _shard i
 #: A space after another character always begins a new part in the byte-level vocabulary's own pattern, so texts can be cut there.
 _CUT = re.compile(r"(?<=\S)(?= )")
 _loaded: dict[str, _Parts] = {}
+common.KEPT["packing"] = _loaded
 
 
 def _simple(text: str) -> bool:
@@ -110,7 +113,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                 lo = hi
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["_d", "piece", "start", "length", "ids_crc32", "_shard"])
 
-    return docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_t")).mapInArrow(run, _PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_t")).mapInArrow(common.lean(run, "packing"), _PIECES)
 
 
 class _Bins:

@@ -77,7 +77,7 @@ def run_hashes(docs: DataFrame, keys: list[Column], text_col: str, lookup=None)
                     h, at = h[keep], at[keep]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(n)), b.column(1).slice(lo, len(n)), common.list_array(at, counts, pa.int32()), common.list_array(h[:, 0], counts, pa.int64()), common.list_array(h[:, 1], counts, pa.int64())], names=["_d", "_k", "i", "h1", "h2"])
 
-    got = docs.select(*keys, F.col(text_col).alias("_t")).mapInArrow(one, "_d long, _k long, i array<int>, h1 array<long>, h2 array<long>")
+    got = docs.select(*keys, F.col(text_col).alias("_t")).mapInArrow(common.lean(one), "_d long, _k long, i array<int>, h1 array<long>, h2 array<long>")
     return got.select("_d", "_k", F.explode(F.arrays_zip("i", "h1", "h2")).alias("x")).select("_d", "_k", "x.i", "x.h1", "x.h2")
 
 

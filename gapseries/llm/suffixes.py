@@ -219,7 +219,7 @@ def _suffix_runs(docs: DataFrame, lookup, bounds: list[int], length: int) -> Dat
     def out(parts):
         return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([front_code(sorted(v)) for v in parts.values()], pa.binary())], names=["part", "run"])
 
-    return docs.mapInArrow(run, "part int, run binary")
+    return docs.mapInArrow(common.lean(run), "part int, run binary")
 
 
 def _merge(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -256,11 +256,11 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 pos = anchors(data, off, length)[1]
                 yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(data[p : p + 7].tobytes(), "big") for p in pos.tolist()], pa.int64())], names=["h"])
 
-    again = common.materialize(own.select("_t").mapInArrow(grams, "h long").groupBy("h").count().filter("count > 1"), "grams")
+    again = common.materialize(own.select("_t").mapInArrow(common.lean(grams), "h long").groupBy("h").count().filter("count > 1"), "grams")
     kinds, total = again.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
     parts = max(1, -(-total // RANGE_SUFFIXES))
     share = min(1.0, SAMPLE_DOCS / max(1, named.count()))
-    seen = np.sort([r[0] << 8 for r in own.sample(share, seed=3).select("_t").mapInArrow(heads, "h long").collect()]) if parts > 1 else []
+    seen = np.sort([r[0] << 8 for r in own.sample(share, seed=3).select("_t").mapInArrow(common.lean(heads), "h long").collect()]) if parts > 1 else []
     bounds = sorted({int(seen[i * len(seen) // parts]) for i in range(1, parts)}) if len(seen) else []
     runs = _suffix_runs(own.select("_d", "_k", "_t"), common.key_filter(again, F.col("h"), kinds), bounds, length)
     spans = runs.groupBy("part").applyInPandas(lambda pdf: _merge(pdf, length), "_d long, _k long, start long, stop long")
@@ -300,7 +300,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["_d", "_kept", "n_bytes", "n_removed", "n_spans"])
 
     joined = base.join(gone, ["_d", "_k"], "left").select("_d", "_t", "spans")
-    return joined.mapInArrow(cut, "_d long, _kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(common.lean(cut), "_d long, _kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -71,7 +71,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 made = (build_record(d, u, body, sha, to) for d, u, body, sha, to in rows)
                 yield pa.RecordBatch.from_arrays([pa.array([_member(r)[:-1] if compress else r[: -len(_END)] for r in made], pa.binary())], names=["record"])
 
-    rows = p.select("_id", "_url", "_body", "_sha", "_refers").mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    rows = p.select("_id", "_url", "_body", "_sha", "_refers").mapInArrow(common.lean(run), "record binary").select(F.col("record").cast("string").alias("value"))
     rows.write.option("lineSep", "\0" if compress else "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
 
 
@@ -190,7 +190,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> tuple
 
         return of
 
-    return files.mapInArrow(run("record"), RECORD), files.mapInArrow(run("gap"), GAP)
+    return files.mapInArrow(common.lean(run("record")), RECORD), files.mapInArrow(common.lean(run("gap")), GAP)
 
 
 def page_records(records: DataFrame) -> DataFrame:
