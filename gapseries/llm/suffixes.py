@@ -155,7 +155,7 @@ def repeats(group: list[tuple], length: int = LENGTH) -> list[tuple[int, int, in
     for m in sorted(group, key=lambda m: m[2:5]):
         own = (m[1], m[5])
         if own in first:
-            if len(m[1]) + len(m[5]) >= length:
+            if first[own][2:5] != m[2:5] and len(m[1]) + len(m[5]) >= length:  # a repeated row sends the same place again
                 out.append((m[2], m[3], m[4] - len(m[5]), m[4] + len(m[1])))
         else:
             first[own] = m

@@ -254,6 +254,16 @@ def test_suffix_dedup_of_many_contexts(spark):
     assert_suffixes(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    lone, twice = words(60, 40), words(30, 41)
+    rows = [(1, lone), (1, lone), (2, words(40, 42) + twice + twice), (2, words(40, 42) + twice + twice), (3, words(20, 43) + lone[:200]), (None, words(50, 44)), (None, words(50, 44)), (4, lone), (4, lone)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {x[0]: x for x in suffixes.brute_force([(common.NO_ID if i is None else i, t.encode()) for i, t in set(rows)])}
+    got = [tuple(x) for x in suffixes.summarize(d).collect()]
+    assert Counter(got) == Counter((i, *want[common.NO_ID if i is None else i][1:]) for i, _ in rows)
+    assert want[1][2] == want[common.NO_ID][2] == 0 < want[2][2] and want[3][2] == 200 and want[4][2] == len(lone)
+
+
 def assert_suffixes(d):
     want = suffixes.brute_force([(i, (t or "").encode()) for i, t in rows_of(d)])
     assert sorted(tuple(x) for x in suffixes.summarize(d).collect()) == sorted(want)
