@@ -26,6 +26,7 @@ RECORD = "path string, at long, size long, record_id string, record_type string,
 GAP = "path string, at long, size long, reason string"
 _CRLF, _END = b"\r\n", b"\r\n\r\n"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _CHUNK = 1 << 16
 
 
@@ -75,26 +76,48 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows.write.option("lineSep", "\0" if compress else "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
 
 
-def _inflate(buf: memoryview, at: int) -> tuple[bytes, int] | None:
-    """The whole member at that byte, checked, and where it ends; None if it is damaged."""
+def _inflate(buf: memoryview, at: int) -> tuple[bytes, int, str]:
+    """What the member at that byte inflates to, where reading it ended, and what is wrong with it, if anything: "truncated",
+    "checksum" (all is there, but it fails the member's check), or "damaged" (inflated up to the damage)."""
     d, out, pos = zlib.decompressobj(31), [], at
     try:
         while pos < len(buf) and not d.eof:
             out.append(d.decompress(buf[pos : pos + _CHUNK]))
             pos += _CHUNK
-    except zlib.error:
-        return None
-    return (b"".join(out), min(pos, len(buf)) - len(d.unused_data)) if d.eof else None
-
-
-def _record(data: bytes | memoryview, at: int) -> tuple[dict, int] | str:
-    """The record whose version line stands at that byte, checked, and where it ends; else what is wrong."""
-    window = bytes(data[at : at + _CHUNK])
-    cut = window.find(_END)
+    except zlib.error as e:
+        d, last = zlib.decompressobj(31), pos  # again, and byte by byte through the chunk that failed
+        for p in range(at, last, _CHUNK):
+            d.decompress(buf[p : p + _CHUNK])
+        try:
+            while pos < len(buf):
+                out.append(d.decompress(buf[pos : pos + 1]))
+                pos += 1
+        except zlib.error:
+            pass
+        if "incorrect data check" in str(e):
+            return b"".join(out), min(pos + 5, len(buf)), "checksum"  # its last byte, and the length after it
+        return b"".join(out), min(pos + 1, len(buf)), "checksum" if "incorrect length check" in str(e) else "damaged"
+    return b"".join(out), min(pos, len(buf)) - len(d.unused_data), "" if d.eof else "truncated"
+
+
+def _compressed(buf: memoryview, at: int, size: int) -> int:
+    """Where the bytes end that all but the last of the first size bytes of the member's data were inflated from."""
+    d, pos, size = zlib.decompressobj(31), at, size - 1
+    while size > 0:
+        piece = buf[pos : pos + _CHUNK]
+        size -= len(d.decompress(piece, size))
+        pos += len(piece) - len(d.unconsumed_tail)
+    return pos
+
+
+def _record(data: bytes, at: int, proven: bool = False) -> tuple[dict, int] | str:
+    """The record whose version line stands at that byte, checked, and where it ends; else what is wrong. If proven, only a
+    record with a digest of its whole block counts."""
+    cut = data.find(_END, at) - at
     if cut < 0:
         return "header without end"
     head = {}
-    for line in window[:cut].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in data[at : at + cut].decode("utf-8", "replace").split("\r\n")[1:]:
         name, sep, value = line.partition(":")
         if not sep:
             return "bad header line"
@@ -103,10 +126,13 @@ def _record(data: bytes | memoryview, at: int) -> tuple[dict, int] | str:
         return "no length"
     start = at + cut + len(_END)
     stop = start + int(head["content-length"])
-    if bytes(data[stop : stop + len(_END)]) != _END:
+    if data[stop : stop + len(_END)] != _END:
         return "no end where its length says"
-    block = bytes(data[start:stop])
-    if (said := head.get("warc-block-digest", "").rpartition(":")[2]) and said != hashlib.sha1(block).hexdigest():
+    block = data[start:stop]
+    said = head.get("warc-block-digest", "").rpartition(":")[2]
+    if proven and not said:
+        return "no block digest in a damaged member"
+    if said and said != hashlib.sha1(block).hexdigest():
         return "block digest differs"
     web, _, body = block.partition(_END)
     digest, kind = head.get("warc-payload-digest", "").rpartition(":")[2], head.get("warc-type", "")
@@ -120,29 +146,52 @@ def _record(data: bytes | memoryview, at: int) -> tuple[dict, int] | str:
     return {"record_id": head.get("warc-record-id", "").strip("<>"), "record_type": kind, "target_uri": head.get("warc-target-uri"), "refers_to": head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None, "payload_digest": digest, "payload_bytes": size, "payload": body}, stop + len(_END)
 
 
+def _within(data: bytes, proven: bool) -> tuple[list[dict], list[tuple[int, int, str]], int]:
+    """(records, gaps as first byte, last and reason, where the last record ends) of a member's data: after a failed check each
+    later version line is tried."""
+    found, gaps, pos, bad, end = [], [], 0, None, 0
+    while pos < len(data):
+        r = _record(data, pos, proven) if data[pos : pos + 7] == b"WARC/1." else "no version line"
+        if isinstance(r, str):
+            bad = bad or (pos, r)
+            m = _VERSION.search(data, pos + 1)
+            pos = m.start() if m else len(data)
+            continue
+        if bad:
+            gaps.append((bad[0], pos, bad[1]))
+            bad = None
+        found.append(r[0])
+        pos = end = r[1]
+    if bad:
+        gaps.append((bad[0], len(data), bad[1]))
+    return found, gaps, end
+
+
 def salvage(content: bytes):
     """("record", at, size, fields) and ("gap", at, size, reason) in order; together they cover the archive.
 
     After a failed check the reader tries each later gzip magic or version line until one begins a record that passes all checks;
     the bytes between are a gap. An empty archive yields nothing. A member may hold several records, or none.
+
+    Within a member too each later version line is tried; at and size are the member's, and a gap's reason names its bytes of the
+    member's data. Of a member that is cut off the records before the cut stand; of a damaged one, or one of several records that
+    fails the member's checksum, those that their own block digest proves. That checksum is the only record's own if there is but one.
     """
+    content = bytes(content)
     buf, at, bad, reason = memoryview(content), 0, -1, ""
     while at < len(buf):
-        found, end, why = [], at, "no record starts here"
-        if bytes(buf[at : at + 3]) == b"\x1f\x8b\x08":
-            got = _inflate(buf, at)
-            why = "damaged member"
-            if got:
-                data, end, pos, why = got[0], got[1], 0, ""
-                while pos < len(data) and not why:
-                    r = _record(data, pos) if data[pos : pos + 7] == b"WARC/1." else "no version line"
-                    if isinstance(r, str):
-                        why = r
-                    else:
-                        found.append(r[0])
-                        pos = r[1]
-        elif bytes(buf[at : at + 7]) == b"WARC/1.":
-            r = _record(buf, at)
+        found, gaps, end, why = [], [], at, "no record starts here"
+        if content[at : at + 3] == b"\x1f\x8b\x08":
+            data, end, wrong = _inflate(buf, at)
+            found, gaps, last = _within(data, wrong in ("damaged", "checksum"))
+            if wrong == "checksum" and len(found) == 1 and not gaps:
+                found = []
+            if wrong in ("truncated", "damaged") and found:
+                end = _compressed(buf, at, last)
+                gaps = [g for g in gaps if g[0] < last]
+            why = "" if found or not (wrong or gaps) else "damaged member" if wrong else gaps[0][2]
+        elif content[at : at + 7] == b"WARC/1.":
+            r = _record(content, at)
             if isinstance(r, str):
                 why = r
             else:
@@ -157,6 +206,8 @@ def salvage(content: bytes):
             bad = -1
         for r in found:
             yield "record", at, end - at, r
+        for lo, hi, what in gaps:
+            yield "gap", at, end - at, f"{what} (bytes {lo} to {hi} of the member's data)"
         at = end
     if bad >= 0:
         yield "gap", bad, len(buf) - bad, reason
@@ -165,7 +216,7 @@ def salvage(content: bytes):
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> tuple[DataFrame, DataFrame]:
     """Records of all archives under path, and the gaps (quarantined byte ranges with the reason of the first failure).
 
-    Without payload the payload column is null. Of damaged members no record is taken, not even those before the damage.
+    Without payload the payload column is null. What is taken of damaged members is said at salvage.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 

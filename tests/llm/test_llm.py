@@ -120,6 +120,55 @@ def test_warc_salvage(spark, tmp_path, compress):
     assert kept == [x[3]["record_id"] for i, x in enumerate(whole) if i not in (2, len(whole) - 1)]
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_warc_long_header(spark, tmp_path, compress):
+    pages = spark.createDataFrame([(1, "http://a/" + "x" * 200_000, "one"), (2, "http://b/", "two")], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), str(tmp_path / "w"), compress=compress)
+    records, gaps = warc.read_archives(spark, str(tmp_path / "w"))
+    assert {r["page_id"]: r["payload_bytes"] for r in warc.page_records(records).collect()} == {1: 3, 2: 3} and gaps.count() == 0
+
+
+def warc_records(n):
+    bodies = [words(3000, i).encode() for i in range(n)]
+    return [warc.build_record(i, f"http://{i}/", b, hashlib.sha1(b).hexdigest(), None) for i, b in enumerate(bodies)]
+
+
+def salvaged(content):
+    found = list(warc.salvage(content))
+    covered = 0
+    for _, at, size, _ in sorted(found, key=lambda x: x[1]):
+        assert at <= covered
+        covered = max(covered, at + size)
+    assert covered == len(content)
+    return [int(x[3]["record_id"].rpartition(":")[2]) for x in found if x[0] == "record"], [x[3] for x in found if x[0] == "gap"]
+
+
+def test_warc_damage_within_members():
+    import gzip
+
+    records = warc_records(6)
+    next_member = gzip.compress(warc_records(8)[7])
+    hurt = list(records)
+    hurt[2] = hurt[2][:-50] + b"#" + hurt[2][-49:]
+    ids, gaps = salvaged(gzip.compress(b"".join(hurt)) + next_member)
+    start = len(records[0]) + len(records[1])
+    assert ids == [0, 1, 3, 4, 5, 7] and len(gaps) == 1 and f"bytes {start} to {start + len(records[2])} " in gaps[0]
+    whole = gzip.compress(b"".join(records))
+    assert salvaged(whole) == ([0, 1, 2, 3, 4, 5], [])
+    assert salvaged(whole[:-8] + b"????" + whole[-4:] + next_member)[0] == [0, 1, 2, 3, 4, 5, 7]
+    ids, gaps = salvaged(whole[: len(whole) // 2])
+    assert ids[:2] == [0, 1] and len(ids) < 6 and gaps == ["no record starts here"]
+    torn = zlib.compressobj(6, zlib.DEFLATED, 31)
+    torn = torn.compress(b"".join(records[:3])) + torn.flush(zlib.Z_FULL_FLUSH) + b"\xff" * 40
+    assert salvaged(torn + next_member)[0] == [0, 1, 2, 7]
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = stored.compress(b"".join(records)) + stored.flush()
+    assert salvaged(stored[:-20])[0] == [0, 1, 2, 3, 4]
+    bare = [re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", r) for r in records]
+    assert salvaged(gzip.compress(b"".join(bare)))[0] == [0, 1, 2, 3, 4, 5]
+    assert salvaged(gzip.compress(bare[0] + records[1])[:-8] + b"????" + whole[-4:])[0] == [1]
+
+
 def test_empty_archives(spark, tmp_path):
     assert list(warc.salvage(b"")) == []
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
