@@ -14,27 +14,55 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A run has at least so many sentences and words; a longer sentence than LONG_WORDS is cut after words picked by
-#: their checksum, and after twice LONG_WORDS at the latest.
-RUN_SENTENCES, RUN_WORDS, LONG_WORDS, CUT = 2, 10, 30, 8
+#: A run has at least so many sentences and words. Sentences are also cut after the word with the least checksum (the last of
+#: equal ones) of every WINDOW words in them, so cuts depend on near words only and no piece has more than WINDOW words. In a
+#: passage of 5 * WINDOW + 1 words at least one run is the same wherever the passage stands.
+RUN_SENTENCES, RUN_WORDS, WINDOW = 2, 10, 10
 #: Documents with removals, and removed runs, up to which the removals are broadcast to the texts.
 BROADCAST_DOCS, BROADCAST_RUNS = 10_000, 200_000
 
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)")
+_MARKS = ".!?\n…。！？｡．؟۔।॥"
+_SENTENCE = re.compile(rf"[^{_MARKS}]*(?:[{_MARKS}]+\s*|$)")
+#: Letters of scripts without spaces between words: each is cut and hashed as a word, two count as one.
+_LETTERS = "฀-໿က-႟ក-៿々-〇぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_LETTER, _WORD = re.compile(f"[{_LETTERS}]"), re.compile(rf"[{_LETTERS}]|[^\s{_LETTERS}]+")
+
+
+def _words(s: str) -> list[str]:
+    return s.split() if s.isascii() else _WORD.findall(s)
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Words after which a sentence is cut: the last of the least checksums in each WINDOW words."""
+    h = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
+    out, at = [], -1
+    for i in range(WINDOW - 1, len(h)):
+        if at <= i - WINDOW:
+            least = min(h[i - WINDOW + 1 : i + 1])
+            at = next(j for j in range(i, -1, -1) if h[j] == least)
+        elif h[i] <= h[at]:
+            at = i
+        else:
+            continue
+        out.append(at)
+    return out
 
 
 def sentences(text: str) -> list[str]:
-    """The text in pieces that together are the text: up to closing marks or line breaks and the space after them."""
+    """The text in pieces that together are the text: up to closing marks or line breaks and the space after them, and up to
+    cuts within sentences."""
     out = []
     for s in _SENTENCE.findall(text):
-        if len(s) > 2 * LONG_WORDS and s.count(" ") >= LONG_WORDS:
-            held = []
-            for m in re.finditer(r"\s*\S+\s*", s):
-                held.append(m[0])
-                if zlib.crc32(m[0].strip().encode("utf-8", "surrogatepass")) % CUT == 0 or len(held) == 2 * LONG_WORDS:
-                    out.append("".join(held))
-                    held = []
-            s = "".join(held)
+        if len(s) >= WINDOW and len(words := _words(s)) >= WINDOW:
+            last = at = done = 0
+            for i in _cuts(words):
+                if i + 1 < len(words):
+                    for w in words[done : i + 1]:
+                        at = s.index(w, at) + len(w)
+                    done, at = i + 1, s.index(words[i + 1], at)
+                    out.append(s[last:at])
+                    last = at
+            s = s[last:]
         if s:
             out.append(s)
     return out
@@ -42,9 +70,12 @@ def sentences(text: str) -> list[str]:
 
 def runs(text: str) -> list[tuple[int, int, str]]:
     """(first sentence, number of sentences, words joined by single spaces) of the shortest run from each sentence on that has
-    RUN_SENTENCES sentences and RUN_WORDS words; sentences without words start none."""
-    words = [s.split() for s in sentences(text)]
-    sizes, out = [len(w) for w in words], []
+    RUN_SENTENCES sentences and RUN_WORDS words; sentences without words start none. What the last run leaves at the text's end
+    is one more, with the words of both."""
+    parts = sentences(text)
+    words = [_words(s) for s in parts]
+    sizes, out = [len(w) if s.isascii() else len(w) - len(_LETTER.findall(s)) / 2 for s, w in zip(parts, words, strict=True)], []
+    last = stop = len(sizes)
     for i, n in enumerate(sizes):
         total, j = n, i + 1
         while j < len(sizes) and (total < RUN_WORDS or j - i < RUN_SENTENCES):
@@ -52,6 +83,9 @@ def runs(text: str) -> list[tuple[int, int, str]]:
             j += 1
         if n and total >= RUN_WORDS and j - i >= RUN_SENTENCES:
             out.append((i, j - i, " ".join(w for s in words[i:j] for w in s)))
+            last, stop = i, j
+    if any(sizes[stop:]):
+        out.append((stop, len(sizes) - stop, " ".join(w for s in words[last:] for w in s)))
     return out
 
 

@@ -192,6 +192,34 @@ def test_span_dedup(spark, docs):
     assert out.columns == docs.columns and out.filter("doc_id = 11").first()["text"] == words(6000, 7)
 
 
+@pytest.mark.parametrize("kind", ["spaced", "stopped", "letters"])
+def test_spans_find_a_passage_at_any_offset(kind):
+    r = random.Random(50)
+    letters = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    text = letters if kind == "letters" else lambda n: words(n, r.random())
+    for size in (51, 55, 60, 102):
+        for trial in range(60):
+            passage = text(size * 2 if kind == "letters" else size)
+            if kind == "stopped":
+                w = passage.split()
+                for i in r.sample(range(len(w)), 3):
+                    w[i] += "."
+                passage = " ".join(w)
+            gap = "" if kind == "letters" else " "
+            found = []
+            for before in (". ", gap):  # after a full stop in one document, mid-sentence in the other
+                t = text(trial) + before + passage + gap + text(r.randrange(60))
+                found.append({x for _, _, x in spans.runs(t)})
+            assert found[0] & found[1], (kind, size, trial)
+
+
+def test_span_dedup_mid_sentence(spark):
+    passage = words(26, 60) + ". " + words(29, 61)
+    d = spark.createDataFrame([(1, "Start. " + passage + ". End."), (2, words(10, 62) + " " + passage + " " + words(5, 63))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in spans.dedup(d).select("_row.doc_id", "n_removed", "_kept_text").collect()}
+    assert got[1]["n_removed"] == 0 < got[2]["n_removed"] and len(got[2]["_kept_text"].split()) < 50
+
+
 def got_n(got, d):
     return next(n for i, n in got if i == d)
 
