@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, langid
@@ -21,8 +21,8 @@ from . import common, langid
 HEAD = 65_536
 FINE_CLASSES, FINE_SIZE, COARSE = 128, 16, 32
 HIDDEN, LANES, STEPS = 32, 128, 16
-#: Weights are fitted in ROUNDS rounds, each over its own 1/SHARE of the training documents; counts cover all of them.
-ROUNDS, SHARE, RATE, DISCOUNT = 3, 8, 0.01, 0.75
+#: Weights are fitted in ROUNDS rounds, each over its own part of the training documents, which together are all of them.
+ROUNDS, RATE, DISCOUNT = 3, 0.01, 0.75
 HELD_FOLDS = 10
 #: Documents from which one set of weights is fitted before sets are averaged.
 FIT_ROWS = 2048
@@ -255,6 +255,11 @@ def _of_rows(batches, rows: int):
         yield pa.concat_arrays(held)
 
 
+def round_of(id_col: str, text_col: str) -> Column:
+    """The round that a training document is fitted in, by id and text, so that rows of one id or of none are dealt out too."""
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("round")), F.lit(ROUNDS))
+
+
 def learn(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Head, list[np.ndarray], int]:
     """(token counts, head, parameters, rank of END) from the given training documents."""
     spark = docs.sparkSession
@@ -285,7 +290,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Head,
             total = sum(np.frombuffer(x, "<f4").astype(float) * k for x, k in zip(pdf["p"], w, strict=True)) / w.sum()
             return pd.DataFrame({"n": [int(w.sum())], "p": [total.astype("<f4").tobytes()]})
 
-        part = docs.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("round")), F.lit(SHARE)) == r)
+        part = docs.filter(round_of(id_col, text_col) == r)
         fitted = part.select(F.col(text_col).alias("_t")).mapInArrow(common.lean(run), "n long, p binary").withColumn("s", F.floor(F.rand(2) * 16))
         rows = [x for x in fitted.groupBy("s").applyInPandas(lambda pdf: add(pdf), "n long, p binary").collect()]  # 16 at most
         if rows:

@@ -256,6 +256,13 @@ def test_lm_base_scores_and_gain(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) and all(r["score"] < 0 for r in got.values())
 
 
+def test_lm_rounds_cover_all_documents(spark):
+    d = spark.createDataFrame([(i if i < 200 else None, f"text {i}") for i in range(400)] + [(None, None), (1, None)], "doc_id long, text string")
+    parts = [{(r[0], r[1]) for r in d.filter(lm.round_of("doc_id", "text") == r).collect()} for r in range(lm.ROUNDS)]
+    assert sum(len(p) for p in parts) == d.count() == len(set().union(*parts))
+    assert all(any(i is None for i, _ in p) for p in parts)
+
+
 def brute_components(rows):
     sets = {}
     for d, t in rows:
