@@ -37,6 +37,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder of working tables under the shared one. Writing a table cuts its lineage, so a lost executor costs a re-run of
+    tasks; clear() when nothing that is still to be computed reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, shared_path(spark, name)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows and bytes of an Arrow batch. Texts may be long, and by Spark's own settings a batch of them may be of any size.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 

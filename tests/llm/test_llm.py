@@ -279,7 +279,11 @@ def brute_components(rows):
     return {(d, len(s), comp[d]) for d, s in sets.items()}
 
 
-def test_jaccard_components(spark, docs):
+@pytest.mark.parametrize("hot", [None, 4])
+def test_jaccard_components(spark, docs, hot, monkeypatch):
+    if hot:  # lists of n-grams split over tasks and multiplied block by block
+        monkeypatch.setattr(jaccard, "HOT_ROWS", hot)
+        monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
     r = random.Random(8)
     group = words(80, 20).split()
     near = []
