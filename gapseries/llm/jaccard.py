@@ -28,7 +28,7 @@ _C1, _C2 = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: The number of occurrences that counts for n-grams whose lists are split: more than any other's.
 _OFTEN = 1 << 40
 #: Partners of a row in the first step.
-PARTNERS = 2
+PARTNERS = 4
 
 
 def _least(n):
