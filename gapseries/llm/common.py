@@ -168,7 +168,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = _random(256, 1)
+BYTE_CASED = _random(256, 1)
+_BYTE = BYTE_CASED.copy()
 _BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 _POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 GRAM = _random(64, 2)
@@ -181,7 +182,7 @@ ALNUM_BYTES[:128] = False
 ALNUM_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
         size, inverse = max(n, BLOCK_BYTES + 1), pow(_BASE, -1, 1 << 64)
         for i, b in enumerate((_BASE, inverse)):
@@ -193,9 +194,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of consecutive texts: hash, doc (index into the block), start and end byte in the block."""
+    """Words of consecutive texts: hash, doc (index into the block), start and end byte in the block. Where breaks says so, a byte
+    that is of a word begins a new one."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, breaks: np.ndarray | None = None, values: np.ndarray = _BYTE):
         n = len(data)
         self.docs = len(offsets) - 1
         m = kind[data]
@@ -207,12 +209,17 @@ class Words:
         last[:-1] &= ~m[1:]
         inner = at[at > 0] - 1
         last[inner] = m[inner]
+        if breaks is not None:
+            new = np.flatnonzero(breaks & m)
+            first[new] = True
+            new = new[new > 0] - 1
+            last[new] = m[new]
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
-        up, down = _powers(n + 1)
+        up, down = powers(n + 1)
         with np.errstate(over="ignore"):
             p = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[data] * up[:n], out=p[1:])
+            np.cumsum(values[data] * up[:n], out=p[1:])
             self.hash = mix((p[self.end] - p[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         self.count = np.bincount(self.doc, minlength=self.docs)

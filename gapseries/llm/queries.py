@@ -33,9 +33,9 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text (what is left), n_chars of it, n_sentences, n_removed, n_spans (removed stretches)."""
+    """doc_id, text (what is left), n_chars of it, n_removed (sentences and parts of them), n_spans (removed stretches)."""
     out = spans.dedup(table(spark, sf_dir, "documents"))
-    return out.select("_row.doc_id", F.col("_kept_text").alias("text"), F.length("_kept_text").cast("long").alias("n_chars"), "n_sentences", "n_removed", "n_spans")
+    return out.select("_row.doc_id", F.col("_kept_text").alias("text"), F.length("_kept_text").cast("long").alias("n_chars"), "n_removed", "n_spans")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

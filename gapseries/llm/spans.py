@@ -2,163 +2,228 @@
 
 from __future__ import annotations
 
-import re
-import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: A run has at least so many sentences and words. Sentences are also cut after the word with the least checksum (the last of
-#: equal ones) of every WINDOW words in them, so cuts depend on near words only and no piece has more than WINDOW words. In a
-#: passage of 5 * WINDOW + 1 words at least one run is the same wherever the passage stands.
+#: A run has at least so many sentences and words. Sentences are also cut after the word with the least hash (the last of equal
+#: ones) of every WINDOW words in them, so cuts depend on near words only and no piece has more than WINDOW words. In a passage of
+#: 5 * WINDOW + 1 words at least one run is the same wherever the passage stands.
 RUN_SENTENCES, RUN_WORDS, WINDOW = 2, 10, 10
-#: Documents with removals, and removed runs, up to which the removals are broadcast to the texts.
+#: Documents with removals up to which the removals are broadcast to the texts.
 BROADCAST_DOCS, BROADCAST_RUNS = 10_000, 200_000
 
-_MARKS = ".!?\n…。！？｡．؟۔।॥"
-_SENTENCE = re.compile(rf"[^{_MARKS}]*(?:[{_MARKS}]+\s*|$)")
-#: Letters of scripts without spaces between words: each is cut and hashed as a word, two count as one.
-_LETTERS = "฀-໿က-႟ក-៿々-〇぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
-_LETTER, _WORD = re.compile(f"[{_LETTERS}]"), re.compile(rf"[{_LETTERS}]|[^\s{_LETTERS}]+")
-
-
-def _words(s: str) -> list[str]:
-    return s.split() if s.isascii() else _WORD.findall(s)
-
-
-def _cuts(words: list[str]) -> list[int]:
-    """Words after which a sentence is cut: the last of the least checksums in each WINDOW words."""
-    h = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
-    out, at = [], -1
-    for i in range(WINDOW - 1, len(h)):
-        if at <= i - WINDOW:
-            least = min(h[i - WINDOW + 1 : i + 1])
-            at = next(j for j in range(i, -1, -1) if h[j] == least)
-        elif h[i] <= h[at]:
-            at = i
-        else:
-            continue
-        out.append(at)
+#: Characters that end a sentence, and the letters of scripts without spaces between words. Each of these letters
+#: is a word, two count as one.
+MARKS = ".!?…。！？｡．؟۔।॥"
+LETTER_RANGES = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xF900, 0xFAFF), (0x20000, 0x3FFFF),
+]
+_MARK_BYTES = {n: np.array([int.from_bytes(m.encode(), "big") for m in MARKS if len(m.encode()) == n]) for n in (1, 2, 3)}
+
+
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, length) of every letter of scripts without spaces."""
+    at = np.flatnonzero(data >= 0xE0)
+    size = np.where(data[at] >= 0xF0, 4, 3)
+    keep = at + size <= len(data)
+    at, size = at[keep], size[keep]
+    b = [data[at + i].astype(np.int64) & 0x3F for i in range(3)]
+    last = data[np.minimum(at + 3, len(data) - 1)].astype(np.int64) & 0x3F
+    cp = np.where(size == 3, (b[0] & 0x0F) << 12 | b[1] << 6 | b[2], (b[0] & 0x07) << 18 | b[1] << 12 | b[2] << 6 | last)
+    known = np.zeros(len(at), bool)
+    for lo, hi in LETTER_RANGES:
+        known |= (cp >= lo) & (cp <= hi)
+    return at[known], size[known]
+
+
+def _marked(data: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each word's last character ends a sentence."""
+    code, out = np.zeros(len(end), np.int64), np.zeros(len(end), bool)
+    for n in (1, 2, 3):
+        at = end - n
+        code += np.where(at >= 0, data[np.maximum(at, 0)], 0).astype(np.int64) << (8 * (n - 1))
+        out |= np.isin(code, _MARK_BYTES[n])
     return out
 
 
-def sentences(text: str) -> list[str]:
-    """The text in pieces that together are the text: up to closing marks or line breaks and the space after them, and up to
-    cuts within sentences."""
-    out = []
-    for s in _SENTENCE.findall(text):
-        if len(s) >= WINDOW and len(words := _words(s)) >= WINDOW:
-            last = at = done = 0
-            for i in _cuts(words):
-                if i + 1 < len(words):
-                    for w in words[done : i + 1]:
-                        at = s.index(w, at) + len(w)
-                    done, at = i + 1, s.index(words[i + 1], at)
-                    out.append(s[last:at])
-                    last = at
-            s = s[last:]
-        if s:
-            out.append(s)
-    return out
-
+@dataclass
+class Runs:
+    """Runs of the texts of a block: text, first sentence, number of sentences, first and last byte (end) in the text, hashes."""
+
+    doc: np.ndarray
+    at: np.ndarray
+    count: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    h1: np.ndarray
+    h2: np.ndarray
+
+
+def pieces(data: np.ndarray, off: np.ndarray) -> tuple[common.Words, np.ndarray, np.ndarray]:
+    """(words, whether each is a letter that counts half, whether a piece ends with it): pieces are sentences and parts of them."""
+    letter, size = _letters(data)
+    breaks = np.zeros(len(data) + 1, bool)
+    breaks[letter] = True
+    breaks[letter + size] = True
+    w = common.Words(data, off, common.WORD_BYTES, breaks[:-1], common.BYTE_CASED)
+    n = len(w.hash)
+    half = breaks[w.start] & np.isin(w.start, letter) if len(letter) else np.zeros(n, bool)
+    ends = np.zeros(n, bool)
+    if n:
+        lines = np.concatenate(([0], np.cumsum(data == 10)))
+        ends[-1] = True
+        ends[:-1] = (w.doc[1:] != w.doc[:-1]) | _marked(data, w.end[:-1]) | (lines[w.start[1:]] > lines[w.end[:-1]])
+    if n >= WINDOW:
+        sentence = np.cumsum(ends) - ends
+        least = (w.hash >> np.uint64(32) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64))
+        width = 1
+        while 2 * width <= WINDOW:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if width < WINDOW:
+            least = np.minimum(least[: n - WINDOW + 1], least[WINDOW - width :])
+        inside = sentence[: n - WINDOW + 1] == sentence[WINDOW - 1 :]
+        ends[(np.uint64(0xFFFFFFFF) - (least[inside] & np.uint64(0xFFFFFFFF))).astype(np.int64)] = True
+    return w, half, ends
+
+
+def runs(data: np.ndarray, off: np.ndarray) -> Runs:
+    """The shortest run from each piece on that has RUN_SENTENCES pieces and RUN_WORDS words. What the last run leaves at the
+    text's end is one more, known by the words of both."""
+    w, half, ends = pieces(data, off)
+    last = np.flatnonzero(ends)
+    first = np.concatenate(([0], last + 1))[:-1] if len(last) else last
+    doc, n = w.doc[first], len(first)
+    docs = np.arange(len(off) - 1)
+    lo, hi = np.searchsorted(doc, docs), np.searchsorted(doc, docs, side="right")
+    weight = np.concatenate(([0], np.cumsum(np.where(half, 1, 2))))
+    total = weight[np.concatenate((first, [len(w.hash)]))] if n else np.zeros(1, np.int64)
+    stop = np.maximum(np.searchsorted(total, total[:-1] + 2 * RUN_WORDS), np.arange(n) + RUN_SENTENCES)
+    ok = stop <= hi[doc] if n else np.zeros(0, bool)
+    a = np.flatnonzero(ok)
+    b, known = stop[a], a
+    many = np.bincount(doc[a], minlength=len(docs)) if len(a) else np.zeros(len(docs), np.int64)
+    final = lo + many - 1
+    tail = np.flatnonzero((many > 0) & (stop[np.minimum(np.maximum(final, 0), n - 1)] < hi)) if n else docs[:0]
+    if len(tail):
+        f = final[tail]
+        a, b, known = np.concatenate((a, stop[f])), np.concatenate((b, hi[tail])), np.concatenate((known, f))
+        order = np.argsort(a, kind="stable")
+        a, b, known = a[order], b[order], known[order]
+    edge = np.concatenate((first, [len(w.hash)]))
+    x, y = edge[known], edge[b]
+    hashes = []
+    up, down = common.powers(len(w.hash) + 1)
+    for salt in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)):
+        with np.errstate(over="ignore"):
+            p = np.concatenate(([np.uint64(0)], np.cumsum(common.mix(w.hash ^ salt) * up[: len(w.hash)], dtype=np.uint64)))
+            hashes.append(common.mix((p[y] - p[x]) * down[x] + (y - x).astype(np.uint64)).view(np.int64))
+    at = np.concatenate((w.start[first], [0]))
+    d = doc[a] if len(a) else a
+    start = np.where(a == lo[d], 0, at[a] - off[d])
+    end = np.where(b == hi[d], off[d + 1] - off[d], at[b] - off[d])
+    return Runs(d, a - lo[d], b - a, start, end, *hashes)
+
+
+def _counts(texts: DataFrame) -> DataFrame:
+    """h1, c: how often each run's hash occurs, added up within tasks first."""
+
+    def run(batches):
+        for b in batches:
+            found = [runs(data, off).h1 for _, off, data in common.text_blocks(b.column(2))]
+            if found:
+                h, c = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c, pa.int64())], names=["h1", "c"])
 
-def runs(text: str) -> list[tuple[int, int, str]]:
-    """(first sentence, number of sentences, words joined by single spaces) of the shortest run from each sentence on that has
-    RUN_SENTENCES sentences and RUN_WORDS words; sentences without words start none. What the last run leaves at the text's end
-    is one more, with the words of both."""
-    parts = sentences(text)
-    words = [_words(s) for s in parts]
-    sizes, out = [len(w) if s.isascii() else len(w) - len(_LETTER.findall(s)) / 2 for s, w in zip(parts, words, strict=True)], []
-    last = stop = len(sizes)
-    for i, n in enumerate(sizes):
-        total, j = n, i + 1
-        while j < len(sizes) and (total < RUN_WORDS or j - i < RUN_SENTENCES):
-            total += sizes[j]
-            j += 1
-        if n and total >= RUN_WORDS and j - i >= RUN_SENTENCES:
-            out.append((i, j - i, " ".join(w for s in words[i:j] for w in s)))
-            last, stop = i, j
-    if any(sizes[stop:]):
-        out.append((stop, len(sizes) - stop, " ".join(w for s in words[last:] for w in s)))
-    return out
+    return texts.mapInArrow(common.lean(run), "h1 long, c long").groupBy("h1").agg(F.sum("c").alias("c"))
 
 
-def run_hashes(docs: DataFrame, keys: list[Column], text_col: str, lookup=None) -> DataFrame:
-    """_d, _k, i (first sentence), h1, h2 of every run of every text (with lookup, of those whose h1 it may hold); the words
-    decide, so space and breaks do not count."""
+def _places(texts: DataFrame, lookup) -> DataFrame:
+    """_d, _k, i, n, start, end, h1, h2 of the runs whose h1 the lookup may hold."""
+    names = ["_d", "_k", "i", "n", "start", "end", "h1", "h2"]
 
-    def one(batches):
+    def run(batches):
         for b in batches:
-            texts = b.column(2)
-            for lo in range(0, b.num_rows, 256):
-                n, at, hashes = [], [], []
-                for x in texts.slice(lo, 256):
-                    found = runs(x.as_py() or "")
-                    n.append(len(found))
-                    at += [i for i, _, _ in found]
-                    hashes += [xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for _, _, s in found]
-                h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                counts, at = np.array(n), np.array(at, np.int32)
-                if lookup is not None:
-                    keep = common.may_hold(lookup, h[:, 0])
-                    counts = np.bincount(np.repeat(np.arange(len(n)), counts)[keep], minlength=len(n))
-                    h, at = h[keep], at[keep]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(n)), b.column(1).slice(lo, len(n)), common.list_array(at, counts, pa.int32()), common.list_array(h[:, 0], counts, pa.int64()), common.list_array(h[:, 1], counts, pa.int64())], names=["_d", "_k", "i", "h1", "h2"])
-
-    got = docs.select(*keys, F.col(text_col).alias("_t")).mapInArrow(common.lean(one), "_d long, _k long, i array<int>, h1 array<long>, h2 array<long>")
-    return got.select("_d", "_k", F.explode(F.arrays_zip("i", "h1", "h2")).alias("x")).select("_d", "_k", "x.i", "x.h1", "x.h2")
-
-
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_d, _k, starts: the runs of each document that occur earlier, in a document with a smaller id or further up in the same.
-
-    Runs are counted by hash within tasks before the shuffle, so copies by the thousand cost one row a task. Only runs that may
-    be repeated (by a bit set of bounded size) are dealt out a second time.
+            for lo, off, data in common.text_blocks(b.column(2)):
+                r = runs(data, off)
+                keep = common.may_hold(lookup, r.h1)
+                row = pa.array(r.doc[keep] + lo)
+                cols = [pa.array(x[keep].astype(np.int64)) for x in (r.at, r.count, r.start, r.end, r.h1, r.h2)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), *cols], names=names)
+
+    return texts.mapInArrow(common.lean(run), ", ".join(f"{n} long" for n in names))
+
+
+def repeated(docs: DataFrame, scratch: common.Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_d, _k, runs (start, end, i, n in order): the runs of each document that occur earlier, in one with a smaller id or further up.
+
+    First only hashes are dealt out, counted within tasks before; copies by the thousand cost one row a task. Then only the runs
+    that may be repeated (by a bit set of bounded size) are, with their places, so that no text is looked through again.
     """
-    keys = common.doc_keys(id_col, text_col)
-    spans = run_hashes(docs, keys, text_col)
-    first = spans.groupBy("h1", "h2").agg(F.min(F.struct("_d", "_k", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
-    first = common.materialize(first, "runs")
-    lookup = common.key_filter(first, F.col("h1"), first.count())
-    later = run_hashes(docs, keys, text_col, lookup).join(first, ["h1", "h2"]).filter(F.struct("_d", "_k", "i") != F.col("first"))
-    return common.materialize(later.groupBy("_d", "_k").agg(F.sort_array(F.collect_set("i")).alias("starts")), "repeated")
-
-
-def cut(text: str, starts: list[int]) -> tuple[str, int, int, int]:
-    """(what is left, sentences, sentences removed, removed stretches) without the sentences in the runs that begin at starts."""
-    parts, drop = sentences(text), set()
-    if len(starts):
-        size = {i: n for i, n, _ in runs(text)}
-        for i in starts:
-            drop.update(range(i, i + size[i]))
-    stretches = sum(i - 1 not in drop for i in drop)
-    return "".join(s for i, s in enumerate(parts) if i not in drop), len(parts), len(drop), stretches
+    texts = docs.select(*common.doc_keys(id_col, text_col), F.col(text_col).alias("_t"))
+    often = scratch.keep(_counts(texts).filter("c > 1").select("h1"), "often")
+    places = scratch.keep(_places(texts, common.key_filter(often, F.col("h1"), often.count())), "places")
+    first = places.groupBy("h1", "h2").agg(F.min(F.struct("_d", "_k", "i")).alias("first"), F.count("*").alias("c"))
+    later = places.join(first.filter("c > 1"), ["h1", "h2"]).filter(F.struct("_d", "_k", "i") != F.col("first"))
+    gone = later.groupBy("_d", "_k").agg(F.sort_array(F.collect_set(F.struct("start", "end", "i", "n"))).alias("runs"))
+    return scratch.keep(gone, "repeated")
+
+
+def _union(start, end) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal stretches that sorted (by start) ranges cover."""
+    start, end = np.asarray(start), np.maximum.accumulate(np.asarray(end))
+    new = np.concatenate(([True], start[1:] > end[:-1]))
+    return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+
+
+def cut(text: str, start, end) -> tuple[str, int]:
+    """(what is left of the text without the given ranges of its UTF-8 bytes, removed stretches)."""
+    data, a, b = text.encode("utf-8", "surrogatepass"), *_union(start, end)
+    left = [data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)]
+    return b"".join(left).decode("utf-8", "surrogatepass"), len(a)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs as _row with _kept_text, n_sentences, n_removed, n_spans: every sentence in a run that is not its first occurrence goes.
+    """docs as _row with _kept_text, n_removed (sentences and parts of them), n_spans (stretches): all in a run that is not its
+    first occurrence goes.
 
-    Null texts stay null, with no sentences. Rows repeated with the same id and text are one document: each is cut alike. Rows
-    with one id and other texts are ordered by the texts' hash; a null id comes first. Extra columns pass through.
+    Words are runs of anything but ASCII space, and letters of scripts without spaces; they alone decide, so space and breaks do
+    not count. Null texts stay null. Rows repeated with the same id and text are one document: each is cut alike. Rows with one
+    id and other texts are ordered by the texts' hash; a null id comes first. An empty table gives no rows. Extra columns pass
+    through. Documents without removals are not dealt out, and do not pass through Python a third time.
     """
-    gone = repeated(docs, id_col, text_col)
-    n, total = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
+    scratch = common.Scratch(docs.sparkSession, "spans")
+    gone = repeated(docs, scratch, id_col, text_col)
+    n, total = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
+    lookup = common.key_filter(gone, F.col("_d").bitwiseXOR(F.col("_k")), n)
     gone = F.broadcast(gone) if n <= BROADCAST_DOCS and total <= BROADCAST_RUNS else gone.hint("merge")
-    marked = common.packed(docs, *common.doc_keys(id_col, text_col), F.col(text_col).alias("_t"))
-
-    @F.pandas_udf("text string, n_sentences long, n_removed long, n_spans long")
-    def cut_all(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        made = [(None, 0, 0, 0) if t is None else cut(t, () if s is None else s) for t, s in zip(text, starts, strict=True)]
-        return pd.DataFrame(made, columns=["text", "n_sentences", "n_removed", "n_spans"])
 
-    out = marked.join(gone, ["_d", "_k"], "left").withColumn("_cut", cut_all("_t", "starts"))
-    return out.select("_row", F.col("_cut.text").alias("_kept_text"), "_cut.n_sentences", "_cut.n_removed", "_cut.n_spans")
+    @F.pandas_udf("boolean")
+    def touched(x: pd.Series) -> pd.Series:
+        return pd.Series(common.may_hold(lookup, x.to_numpy()))
+
+    @F.pandas_udf("text string, n_removed long, n_spans long")
+    def cut_all(text: pd.Series, start: pd.Series, end: pd.Series, i: pd.Series, n: pd.Series) -> pd.DataFrame:
+        made = []
+        for t, a, b, x, y in zip(text, start, end, i, n, strict=True):
+            left, spans = (t, 0) if a is None or not len(a) else cut(t, a, b)
+            x, y = _union(x, np.asarray(x) + np.asarray(y)) if spans else (np.zeros(1), np.zeros(1))
+            made.append((left, int((y - x).sum()), spans))
+        return pd.DataFrame(made, columns=["text", "n_removed", "n_spans"])
+
+    marked = common.packed(docs, *common.doc_keys(id_col, text_col)).withColumn("_touched", touched(F.col("_d").bitwiseXOR(F.col("_k"))))
+    whole = marked.filter("not _touched").select("_row", F.col(f"_row.`{text_col}`").alias("_kept_text"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    some = marked.filter("_touched").join(gone, ["_d", "_k"], "left")
+    some = some.withColumn("_cut", cut_all(F.col(f"_row.`{text_col}`"), *[F.col(f"runs.{c}") for c in ("start", "end", "i", "n")]))
+    return whole.unionByName(some.select("_row", F.col("_cut.text").alias("_kept_text"), "_cut.n_removed", "_cut.n_spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:

@@ -34,7 +34,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np
     n, w = len(data), length - GRAM_BYTES + 1
     if n < length:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    up, down = common._powers(n + 1)
+    up, down = common.powers(n + 1)
     with np.errstate(over="ignore"):
         p = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=p[1:])

@@ -175,21 +175,90 @@ def test_empty_archives(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "w"))[0].count() == 0
 
 
-def test_span_dedup(spark, docs):
-    got = {(r["doc_id"], r["n_sentences"]): r for r in spans.dedup(docs).select("_row.doc_id", "_row.text", F.col("_kept_text").alias("kept"), "n_sentences", "n_removed", "n_spans").collect()}
-    seen = set()
-    for d, t in sorted({(d if d is not None else common.NO_ID, t) for d, t in rows_of(docs) if t is not None}):
-        gone = []
-        for i, _, x in spans.runs(t):
-            if x in seen:
-                gone.append(i)
-            seen.add(x)
-        kept, n, removed, stretches = spans.cut(t, gone)
-        r = got[None if d == common.NO_ID else d, n]
-        assert (r["kept"], r["n_removed"], r["n_spans"]) == (kept, removed, stretches)
-    assert got[2, got_n(got, 2)]["kept"] == "" and words(60, 2)[100:300] not in got[5, got_n(got, 5)]["kept"]
+MARKS = ".!?…。！？｡．؟۔।॥"
+M64 = (1 << 64) - 1
+
+
+def is_letter(c):
+    return any(lo <= ord(c) <= hi for lo, hi in spans.LETTER_RANGES)
+
+
+def plain_words(text):
+    """(start, end) in characters of words: runs of anything but ASCII space, letters of unspaced scripts alone."""
+    out, at = [], None
+    for i, c in enumerate(text + " "):
+        if at is not None and (c in " \t\n\x0b\x0c\r" or is_letter(c) or is_letter(text[at])):
+            out.append((at, i))
+            at = None
+        if at is None and c not in " \t\n\x0b\x0c\r":
+            at = i
+    return out
+
+
+def word_hash(w):
+    base, h = 0x9E3779B97F4A7C15 | 1, 0
+    for i, b in enumerate(w.encode()):
+        h = (h + int(common.BYTE_CASED[b]) * pow(base, i, 1 << 64)) & M64
+    x = (h + len(w.encode())) & M64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return (x ^ x >> 31) >> 32
+
+
+def plain_runs(text):
+    """(start, end in characters, words) of the runs, and the pieces' starts; word by word from the definition."""
+    w = plain_words(text)
+    ends = [text[b - 1] in MARKS or i + 1 == len(w) or "\n" in text[b : w[i + 1][0]] for i, (a, b) in enumerate(w)]
+    h, cut, at = [word_hash(text[a:b]) for a, b in w], set(), 0
+    while at < len(w):
+        stop = next(i for i in range(at, len(w)) if ends[i]) + 1
+        for i in range(at, stop - spans.WINDOW + 1):
+            cut.add(max(range(i, i + spans.WINDOW), key=lambda j: (-h[j], j)))
+        at = stop
+    first = [i for i in range(len(w)) if i == 0 or ends[i - 1] or i - 1 in cut] + [len(w)]
+    edge = [0] + [w[i][0] for i in first[1:-1]] + [len(text)]
+    size = lambda i, j: sum(1 if is_letter(text[a]) else 2 for a, b in w[first[i] : first[j]])
+    said = lambda i, j: tuple(text[a:b] for a, b in w[first[i] : first[j]])
+    n, out, last = len(first) - 1, [], None
+    for i in range(n):
+        j = next((j for j in range(i + 2, n + 1) if size(i, j) >= 2 * spans.RUN_WORDS), None)
+        if j is not None:
+            out.append((edge[i], edge[j], said(i, j)))
+            last = i, j
+    if last and last[1] < n:
+        out.append((edge[last[1]], edge[n], said(last[0], n)))
+    return out
+
+
+def plain_dedup(rows):
+    """What is left of each (id, text)."""
+    seen, left = set(), {}
+    for d, t in sorted(rows):
+        gone = set()
+        for a, b, said in plain_runs(t):
+            if said in seen:
+                gone |= set(range(a, b))
+            seen.add(said)
+        left[d, t] = "".join(c for i, c in enumerate(t) if i not in gone)
+    return left
+
+
+@pytest.mark.parametrize("bound", [None, 0])
+def test_span_dedup(spark, docs, bound, monkeypatch):
+    if bound is not None:
+        monkeypatch.setattr(spans, "BROADCAST_DOCS", bound)
+    r = random.Random(77)
+    vocabulary = ["the", "of.", "a", "Über", "字", "字字。字", "x\ny", "end!", "b", "c", "d", "e"]
+    noise = [(500 + i, " ".join(r.choice(vocabulary) for _ in range(r.randrange(120)))) for i in range(40)]
+    some = docs.select("doc_id", "text").union(spark.createDataFrame(noise, "doc_id long, text string"))
+    got = Counter(tuple(x) for x in spans.dedup(some).select("_row.doc_id", "_row.text", "_kept_text").collect())
+    rows = rows_of(some)
+    left = plain_dedup({(common.NO_ID if d is None else d, t) for d, t in rows if t is not None})
+    assert got == Counter((d, t, t if t is None else left[common.NO_ID if d is None else d, t]) for d, t in rows)
+    assert left[2, words(120, 1)] == "" and words(60, 2)[100:300] not in left[5, next(t for d, t in rows if d == 5)]
     out = spans.remove_repeats(docs)
     assert out.columns == docs.columns and out.filter("doc_id = 11").first()["text"] == words(6000, 7)
+    assert spans.remove_repeats(docs.filter("false")).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["spaced", "stopped", "letters"])
@@ -208,8 +277,8 @@ def test_spans_find_a_passage_at_any_offset(kind):
             gap = "" if kind == "letters" else " "
             found = []
             for before in (". ", gap):  # after a full stop in one document, mid-sentence in the other
-                t = text(trial) + before + passage + gap + text(r.randrange(60))
-                found.append({x for _, _, x in spans.runs(t)})
+                t = (text(trial) + before + passage + gap + text(r.randrange(60))).encode()
+                found.append(set(spans.runs(common.np.frombuffer(t, common.np.uint8), common.np.array([0, len(t)])).h1.tolist()))
             assert found[0] & found[1], (kind, size, trial)
 
 
@@ -220,14 +289,19 @@ def test_span_dedup_mid_sentence(spark):
     assert got[1]["n_removed"] == 0 < got[2]["n_removed"] and len(got[2]["_kept_text"].split()) < 50
 
 
-def got_n(got, d):
-    return next(n for i, n in got if i == d)
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text(st.sampled_from("ab .!\n?é"), max_size=200))
-def test_sentences_are_the_text(text):
-    assert "".join(spans.sentences(text)) == text
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab .!\n字é。"), max_size=150), min_size=1, max_size=4))
+def test_runs_are_those_of_the_definition(texts):
+    data = [t.encode() for t in texts]
+    off = common.np.cumsum([0] + [len(d) for d in data])
+    got = spans.runs(common.np.frombuffer(b"".join(data), common.np.uint8), off)
+    names = {}
+    for i, t in enumerate(texts):
+        want = [(len(t[:a].encode()), len(t[:b].encode()), said) for a, b, said in plain_runs(t)]
+        mine = [(int(a), int(b), (int(x), int(y))) for d, a, b, x, y in zip(got.doc, got.start, got.end, got.h1, got.h2) if d == i]
+        assert [x[:2] for x in mine] == [x[:2] for x in want]
+        for (_, _, h), (_, _, said) in zip(mine, want):
+            assert names.setdefault(said, h) == h and names.setdefault(h, said) == said
 
 
 def test_decontamination(spark, docs):
