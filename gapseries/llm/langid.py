@@ -13,6 +13,9 @@ from . import common
 
 DIMENSIONS, GRAM, LETTERS, DIRECT = 256, 3, 2048, 0x250
 UNKNOWN = "und"
+#: keep_identified rejects texts of MIN_CHARS characters or more whose nearest prototype has a cosine under MIN_SCORE: lines or words
+#: over and over, random letters. Shorter texts hold too few n-grams for that.
+MIN_SCORE, MIN_CHARS = 0.25, 100
 _SCALE, _BLOCK_CHARS, _HELD = 1 << 20, 1 << 18, 96
 
 
@@ -141,9 +144,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, prototypes, [F.col(id_col), held_out(id_col, folds).alias("held_out")], text_col)
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
-    """The rows, columns unchanged, whose text has a language; the others (null, no letter) are rejected."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, min_score: float = MIN_SCORE, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The rows, columns unchanged, whose text is in a language. Rejected are null texts, those without a letter, and those of
+    min_chars characters or more that are like no language (cosine with every prototype under min_score). Without any lang to learn
+    from nothing is identified, so no row stays. Repeated rows fare alike."""
     prototypes = learn(docs.filter(~held_out(id_col, folds)), lang_col, text_col)
     marked = common.packed(docs, F.col(text_col).alias("_text"))
-    got = predict(marked, prototypes, [F.col("_row")], "_text")
-    return common.unpacked(got.filter(F.col("lang_pred") != UNKNOWN), docs)
+    got = predict(marked, prototypes, [F.col("_row"), (F.char_length("_text") >= min_chars).alias("_long")], "_text")
+    return common.unpacked(got.filter((F.col("lang_pred") != UNKNOWN) & ~(F.col("_long") & (F.col("score") < min_score))), docs)

@@ -10,7 +10,6 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +18,13 @@ from . import common, langid
 
 #: Words with their own place in the model (seen twice or more, most frequent first): a bound on what is broadcast.
 HEAD = 65_536
-FINE_CLASSES, FINE_SIZE, COARSE = 128, 16, 32
-HIDDEN, LANES, STEPS = 32, 128, 16
-#: Weights are fitted in ROUNDS rounds, each over its own part of the training documents, which together are all of them.
-ROUNDS, RATE, DISCOUNT = 3, 0.01, 0.75
+FINE_CLASSES, FINE_SIZE, COARSE = 24, 24, 8
+HIDDEN, LANES, STEPS = 16, 512, 16
+RATE, DISCOUNT = 0.01, 0.75
 HELD_FOLDS = 10
-#: Documents from which one set of weights is fitted before sets are averaged.
-FIT_ROWS = 2048
+#: Documents from which one set of weights is fitted before sets are averaged, tokens of a training text after which the state
+#: starts anew, and documents that are scored together.
+FIT_ROWS, FIT_TOKENS, SCORE_ROWS = 4096, 2048, 8192
 END = np.uint64(0x9E3779B97F4A7C15)
 _FINE = FINE_CLASSES * FINE_SIZE
 
@@ -50,6 +49,8 @@ class Head:
         mass[self.tail_class] += max(self.tail_n, 1)
         self.within = np.log(np.maximum(self.counts, 1) / np.maximum(mass[self.cls], 1))
         self.bias = np.log((mass + 1e-3) / mass.sum()).astype(np.float32)
+        self.classes = np.append(self.cls, self.tail_class)
+        self.rows = np.append(np.where(np.arange(size) < _FINE, np.arange(size), _FINE + self.cls - FINE_CLASSES), _FINE + self.tail_class - FINE_CLASSES)
 
     def rank(self, h: np.ndarray) -> np.ndarray:
         """Rank of each hash, -1 if it is no head word."""
@@ -59,23 +60,20 @@ class Head:
         return np.where(self.hashes[i] == h, self.ranks[i], -1)
 
     def inputs(self, rank: np.ndarray) -> np.ndarray:
-        """Embedding row of each rank: its own if among the most frequent, else its class's."""
-        cls = np.append(self.cls, self.tail_class)[rank]
-        return np.where((rank >= 0) & (rank < _FINE), rank, _FINE + cls - FINE_CLASSES)
+        """Input row of each rank: its own if among the most frequent, else its class's."""
+        return self.rows[rank]
 
 
 def start_params(head: Head) -> list[np.ndarray]:
+    """Input rows by gate, recurrence, class weights and bias, weights and bias within the classes; gates are update, reset, new."""
     g, h, c = np.random.default_rng(5), HIDDEN, head.tail_class + 1
     fine = np.full(_FINE, -20.0)
     k = min(_FINE, len(head.counts))
     fine[:k] = head.within[:k]
-    shapes = [(_FINE + c - FINE_CLASSES, h), (h, 3 * h), (h, 3 * h), (3 * h,)]
-    made = [(g.standard_normal(s) * (0.1 if len(s) < 2 or s[0] > 3 * h else 0.5 / np.sqrt(h))).astype(np.float32) for s in shapes]
-    return [*made, np.zeros((h, c), np.float32), head.bias.copy(), np.zeros((FINE_CLASSES, h, FINE_SIZE), np.float32), fine.reshape(FINE_CLASSES, FINE_SIZE).astype(np.float32)]
-
-
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    table = g.standard_normal((_FINE + c - FINE_CLASSES, 3 * h)) * 0.5
+    recur = g.standard_normal((h, 3 * h)) * (0.5 / np.sqrt(h))
+    made = [table, recur, np.zeros((h, c)), head.bias, np.zeros((FINE_CLASSES, h, FINE_SIZE)), fine.reshape(FINE_CLASSES, FINE_SIZE)]
+    return [np.ascontiguousarray(x, np.float32) for x in made]
 
 
 def _lanes(ranks: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +89,7 @@ def _lanes(ranks: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray,
         heapq.heapreplace(lanes, (n + len(ranks[t]), i, own))
     lanes.sort(key=lambda x: -x[0])
     shape = (lanes[0][0], len(lanes))
-    target, text, first = np.full(shape, -1), np.full(shape, -1), np.zeros(shape, bool)
+    target, text, first = np.full(shape, -1, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, bool)
     for j, (_, _, own) in enumerate(lanes):
         at = 0
         for t in own:
@@ -106,92 +104,122 @@ def _inputs(target: np.ndarray, first: np.ndarray, head: Head, end_rank: int) ->
 
 
 def _forward(p, x, h, first):
-    """States of a window; keeps what backpropagation needs."""
-    table, kept, hs = p[0][x] @ p[1] + p[3], [], []
+    """(states H x steps x lanes, what backpropagation needs) of a window; all arrays have lanes last."""
+    k = HIDDEN
+    table = np.ascontiguousarray(p[0][x].transpose(0, 2, 1))
+    u, states, kept = np.ascontiguousarray(p[1].T), np.empty((k, *x.shape), np.float32), []
     for t in range(len(x)):
-        h = np.where(first[t][:, None], np.float32(0), h)
-        hw = h @ p[2]
-        z = _sigmoid(table[t][:, :HIDDEN] + hw[:, :HIDDEN])
-        r = _sigmoid(table[t][:, HIDDEN : 2 * HIDDEN] + hw[:, HIDDEN : 2 * HIDDEN])
-        n = np.tanh(table[t][:, 2 * HIDDEN :] + r * hw[:, 2 * HIDDEN :])
-        kept.append((h, z, r, n, hw[:, 2 * HIDDEN :]))
-        h = (1 - z) * n + z * h
-        hs.append(h)
-    return np.stack(hs), kept
+        if first[t].any():
+            h = h * ~first[t]
+        hw = u @ h
+        zr = table[t, : 2 * k] + hw[: 2 * k]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        n = zr[k:] * hw[2 * k :]
+        n += table[t, 2 * k :]
+        np.tanh(n, out=n)
+        kept.append((h, zr[:k], zr[k:], n, hw[2 * k :]))
+        h = n + zr[:k] * (h - n)
+        states[:, t] = h
+    return states, kept
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Sums over the first axis of the exponentials, which replace logits (held under 60, so no sum overflows)."""
+    np.minimum(logits, 60, out=logits)
+    np.exp(logits, out=logits)
+    return logits.sum(axis=0)
 
 
 def _outputs(p, hs, target, head):
-    """Natural-log probability of each target (tail words: of their class) and the softmaxes."""
-    cls = np.append(head.cls, head.tail_class)[target]
-    logits = hs @ p[4] + p[5]
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(axis=1, keepdims=True)
-    out = logits[np.arange(len(cls)), cls] - np.log(total[:, 0])
+    """Natural-log probability of each target (tail words: of their class); classes; class softmaxes; and of the words in fine
+    classes, in order of class: which they are, their bounds by class, and their softmaxes."""
+    cls = head.classes[target]
+    probs = p[2].T @ hs
+    probs += p[3][:, None]
+    own = probs[cls, np.arange(len(cls))].copy()
+    total = _softmax(probs)
+    out = own - np.log(total)
+    probs /= total
     fine = np.flatnonzero((target >= 0) & (target < _FINE))
-    own = np.einsum("nh,nhk->nk", hs[fine], p[6][cls[fine]]) + p[7][cls[fine]]
-    own -= own.max(axis=1, keepdims=True)
-    q = np.exp(own)
-    some = q.sum(axis=1, keepdims=True)
-    out[fine] += own[np.arange(len(fine)), target[fine] % FINE_SIZE] - np.log(some[:, 0])
-    coarse = target >= _FINE
+    fine = fine[np.argsort(target[fine].astype(np.int16), kind="stable")]
+    edges = np.searchsorted(target[fine], np.arange(FINE_CLASSES + 1) * FINE_SIZE)
+    states, q = np.take(hs, fine, axis=1), np.empty((FINE_SIZE, len(fine)), np.float32)
+    for c in range(FINE_CLASSES):
+        a, b = edges[c], edges[c + 1]
+        if b > a:
+            q[:, a:b] = p[4][c].T @ states[:, a:b] + p[5][c][:, None]
+    own = q[target[fine] % FINE_SIZE, np.arange(len(fine))].copy()
+    total = _softmax(q)
+    out[fine] += own - np.log(total)
+    q /= total
+    coarse = np.flatnonzero(target >= _FINE)
     out[coarse] += head.within[target[coarse]]
-    return out, cls, e / total, fine, q / some
+    return out, cls, probs, fine, edges, states, q
 
 
 def fit(p: list[np.ndarray], ranks: list[np.ndarray], head: Head, end_rank: int) -> tuple[list[np.ndarray], int]:
-    """Parameters after one pass over the texts (Adam, windows of STEPS words, states carried between windows); tokens seen."""
-    p = [x.copy() for x in p]
+    """Parameters after one pass over the texts (Adam, windows of STEPS words, states carried between windows); tokens seen.
+
+    Texts of over FIT_TOKENS words are learned in stretches, so that lanes stay full.
+    """
+    k, p = HIDDEN, [x.copy() for x in p]
     m1, m2, count, seen = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0, 0
-    target, text, first = _lanes(ranks, LANES)
+    target, text, first = _lanes([r[i : i + FIT_TOKENS] for r in ranks for i in range(0, len(r), FIT_TOKENS)], LANES)
     x = _inputs(target, first, head, end_rank)
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
+    h = np.zeros((k, target.shape[1]), np.float32)
     for t0 in range(0, len(target), STEPS):
-        tt, ok, ff, xx = (a[t0 : t0 + STEPS] for a in (target, text >= 0, first, x))
-        hs, kept = _forward(p, xx, h, ff)
-        h = hs[-1]
-        flat, on = hs.reshape(-1, HIDDEN), ok.ravel()
-        size = int(on.sum())
-        _, cls, probs, fine, q = _outputs(p, flat, tt.ravel(), head)
-        d = probs
-        d[np.arange(len(cls)), cls] -= 1
-        d[~on] = 0
-        d /= size
+        live = int((text[t0] >= 0).sum())
+        tt, ff, xx = (a[t0 : t0 + STEPS, :live] for a in (target, first, x))
+        on = (text[t0 : t0 + STEPS, :live] >= 0).ravel()
+        hs, kept = _forward(p, xx, h[:, :live], ff)
+        h = hs[:, -1]
+        flat, size = hs.reshape(k, -1), int(on.sum())
+        _, cls, d, fine, edges, states, q = _outputs(p, flat, tt.ravel(), head)
+        scale = (on / size).astype(np.float32)
+        d[cls, np.arange(len(cls))] -= 1
+        d *= scale
+        q[tt.ravel()[fine] % FINE_SIZE, np.arange(len(fine))] -= 1
+        q *= scale[fine]
         g = [np.zeros_like(a) for a in p]
-        g[4], g[5] = flat.T @ d, d.sum(axis=0)
-        dh = d @ p[4].T
-        q[np.arange(len(fine)), tt.ravel()[fine] % FINE_SIZE] -= 1
-        q[~on[fine]] = 0
-        q /= size
-        dh[fine] += np.einsum("nk,nhk->nh", q, p[6][cls[fine]])
-        if len(fine):
-            order = np.argsort(cls[fine], kind="stable")
-            c = cls[fine][order]
-            at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-            g[6][c[at]] = np.add.reduceat(flat[fine][order][:, :, None] * q[order][:, None, :], at, axis=0)
-            g[7][c[at]] = np.add.reduceat(q[order], at, axis=0)
-        dh, back = dh.reshape(hs.shape), np.zeros_like(h)
-        dx = np.empty((*xx.shape, 3 * HIDDEN), np.float32)
+        g[2], g[3], dh = flat @ d.T, d.sum(axis=1), p[2] @ d
+        back = np.zeros((k, len(fine) + 1), np.float32)
+        for c in range(FINE_CLASSES):
+            a, b = edges[c], edges[c + 1]
+            if b > a:
+                g[4][c] = states[:, a:b] @ q[:, a:b].T
+                g[5][c] = q[:, a:b].sum(axis=1)
+                back[:, a:b] = p[4][c] @ q[:, a:b]
+        own = np.full(len(cls), len(fine))
+        own[fine] = np.arange(len(fine))
+        dh += np.take(back, own, axis=1)
+        dh, back = dh.reshape(hs.shape), np.float32(0)
+        dx, dw = np.empty((len(xx), 3 * k, live), np.float32), np.empty((3 * k, live), np.float32)
         for t in range(len(xx) - 1, -1, -1):
             h0, z, r, n, hwn = kept[t]
-            dt = dh[t] + back
+            dt = dh[:, t] + back
             dn = dt * (1 - z) * (1 - n * n)
-            dz = dt * (h0 - n) * z * (1 - z)
-            dr = dn * hwn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], axis=1)
-            dw = np.concatenate([dz, dr, dn * r], axis=1)
-            g[2] += h0.T @ dw
-            back = np.where(ff[t][:, None], np.float32(0), dt * z + dw @ p[2].T)
-        flat_x, dx = xx.ravel(), dx.reshape(-1, 3 * HIDDEN)
-        g[1], g[3] = p[0][flat_x].T @ dx, dx.sum(axis=0)
-        np.add.at(g[0], flat_x, dx @ p[1].T)
+            dx[t, :k] = dt * (h0 - n) * z * (1 - z)
+            dx[t, k : 2 * k] = dn * hwn * r * (1 - r)
+            dx[t, 2 * k :] = dn
+            dw[: 2 * k] = dx[t, : 2 * k]
+            dw[2 * k :] = dn * r
+            g[1] += h0 @ dw.T
+            back = (dt * z + p[1] @ dw) * ~ff[t]
+        order = np.argsort(xx.ravel().astype(np.int16), kind="stable")
+        rows = xx.ravel()[order]
+        at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        g[0][rows[at]] = np.add.reduceat(dx.transpose(0, 2, 1).reshape(-1, 3 * k)[order], at, axis=0)
         count, seen = count + 1, seen + size
-        norm = np.sqrt(sum(float((a * a).sum()) for a in g))
+        norm = np.sqrt(sum(float(np.vdot(a, a)) for a in g))
+        clip, fast, slow = np.float32(min(1.0, 1.0 / (norm + 1e-9))), 1 - 0.9**count, 1 - 0.99**count
         for a, b, u, v in zip(p, g, m1, m2, strict=True):
-            b *= min(1.0, 1.0 / (norm + 1e-9))
-            u += 0.1 * (b - u)
-            v += 0.01 * (b * b - v)
-            a -= RATE * (u / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.99**count)) + 1e-6)
+            b *= clip
+            u += np.float32(0.1) * (b - u)
+            v += np.float32(0.01) * (b * b - v)
+            a -= np.float32(RATE / fast) * u / (np.sqrt(v / np.float32(slow)) + np.float32(1e-6))
     return p, seen
 
 
@@ -200,15 +228,15 @@ def score_texts(p: list[np.ndarray], ranks: list[np.ndarray], head: Head, end_ra
     target, text, first = _lanes(ranks, LANES)
     x = _inputs(target, first, head, end_rank)
     alive = (text >= 0).sum(axis=1)
-    h, out = np.zeros((target.shape[1], HIDDEN), np.float32), np.zeros(len(ranks))
-    for t0 in range(0, len(target), 32):
+    h, out = np.zeros((HIDDEN, target.shape[1]), np.float32), np.zeros(len(ranks))
+    for t0 in range(0, len(target), STEPS):
         k = alive[t0]
-        tt, own, ff, xx = (a[t0 : t0 + 32, :k] for a in (target, text, first, x))
-        hs, _ = _forward(p, xx, h[:k], ff)
-        h = hs[-1]
-        on = own.ravel() >= 0
-        logp = _outputs(p, hs.reshape(-1, HIDDEN)[on], tt.ravel()[on], head)[0]
-        out += np.bincount(own.ravel()[on], logp, minlength=len(ranks))
+        tt, own, ff, xx = (a[t0 : t0 + STEPS, :k] for a in (target, text, first, x))
+        hs, _ = _forward(p, xx, h[:, :k], ff)
+        h = hs[:, -1]
+        own = own.ravel()
+        logp = _outputs(p, hs.reshape(HIDDEN, -1), tt.ravel(), head)[0]
+        out += np.bincount(own + 1, logp, minlength=len(ranks) + 1)[1:]
     return out / np.log(10)
 
 
@@ -239,33 +267,58 @@ def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("_t")).mapInArrow(common.lean(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _of_rows(batches, rows: int):
-    """The first column in arrays of so many rows (the last may be shorter), whatever the session's batches are."""
+def _of_rows(batches, rows: int, columns: int = 1):
+    """The first columns (one alone: itself) in arrays of so many rows (the last may be shorter), whatever the session's batches are."""
     held, have = [], 0
+
+    def whole():
+        cols = [pa.concat_arrays([x.column(i) for x in held]) for i in range(columns)]
+        return cols[0] if columns == 1 else cols
+
     for b in batches:
         at = 0
         while at < b.num_rows:
-            part = b.column(0).slice(at, rows - have)
+            part = b.slice(at, rows - have)
             held.append(part)
-            have, at = have + len(part), at + len(part)
+            have, at = have + part.num_rows, at + part.num_rows
             if have == rows:
-                yield pa.concat_arrays(held)
+                yield whole()
                 held, have = [], 0
     if held:
-        yield pa.concat_arrays(held)
+        yield whole()
+
 
+def rounds_for(rows: int) -> int:
+    """Rounds of fitting for so many training documents: one more for every tenfold, so that what is learned grows with them."""
+    return 2 + max(0, int(np.log10(max(rows, 1) / 1000)))
 
-def round_of(id_col: str, text_col: str) -> Column:
+
+def round_of(id_col: str, text_col: str, rounds: int) -> Column:
     """The round that a training document is fitted in, by id and text, so that rows of one id or of none are dealt out too."""
-    return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("round")), F.lit(ROUNDS))
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("round")), F.lit(rounds))
+
+
+def _summed(batches):
+    """One row of the sums (tokens, weighted parameters) of all rows."""
+    n, total = 0, None
+    for b in batches:
+        for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            n, x = n + k, np.frombuffer(x.as_buffer(), "<f8")
+            total = x.copy() if total is None else total + x
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "p"])
 
 
 def learn(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Head, list[np.ndarray], int]:
-    """(token counts, head, parameters, rank of END) from the given training documents."""
+    """(token counts, head, parameters, rank of END) from the given training documents.
+
+    Weights are fitted in rounds, each over its own part of the documents, which together are all of them. In a round sets of
+    FIT_ROWS documents start from the same weights and are averaged by their tokens: within tasks, then by sixteen tasks.
+    """
     spark = docs.sparkSession
     counts = common.materialize(count_tokens(docs, text_col), "tokens")
-    v, n = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     end = F.col("h") == int(END.view(np.int64))
+    v, n, rows = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.when(end, F.col("c"))), F.lit(0))).first()
     top = counts.filter((F.col("c") > 1) | end).orderBy(end.desc(), F.col("c").desc(), "h").limit(HEAD).toArrow()
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(-c, kind="stable")
@@ -275,28 +328,29 @@ def learn(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Head,
     end_rank = int(head.rank(np.array([END]))[0])
     params = start_params(head)
     cuts, shapes = np.cumsum([x.size for x in params])[:-1], [x.shape for x in params]
-    for r in range(ROUNDS):
+    rounds = rounds_for(rows)
+    for r in range(rounds if rows else 0):
         known = spark.sparkContext.broadcast((params, head))
 
         def run(batches, known=known):
             p, head = known.value
-            for texts in _of_rows(batches, FIT_ROWS):
-                ranks = [x for _, n, h, t in _tokens(texts) for x in _by_text(head.rank(h), t, n)]
-                got, seen = fit(p, ranks, head, end_rank)
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(np.concatenate([x.ravel() for x in got]).astype("<f4") * np.float32(1)).tobytes()], pa.binary())], names=["n", "p"])
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            w = pdf["n"].to_numpy(float)
-            total = sum(np.frombuffer(x, "<f4").astype(float) * k for x, k in zip(pdf["p"], w, strict=True)) / w.sum()
-            return pd.DataFrame({"n": [int(w.sum())], "p": [total.astype("<f4").tobytes()]})
-
-        part = docs.filter(round_of(id_col, text_col) == r)
-        fitted = part.select(F.col(text_col).alias("_t")).mapInArrow(common.lean(run), "n long, p binary").withColumn("s", F.floor(F.rand(2) * 16))
-        rows = [x for x in fitted.groupBy("s").applyInPandas(lambda pdf: add(pdf), "n long, p binary").collect()]  # 16 at most
-        if rows:
-            w = np.array([x["n"] for x in rows], float)
-            total = sum(np.frombuffer(bytes(x["p"]), "<f4") * k for x, k in zip(rows, w / w.sum(), strict=True))
-            params = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(total, cuts), shapes, strict=True)]
+
+            def sets():
+                for texts in _of_rows(batches, FIT_ROWS):
+                    got, seen = fit(p, [x for _, n, h, t in _tokens(texts) for x in _by_text(head.rank(h), t, n)], head, end_rank)
+                    weighted = np.concatenate([x.ravel() for x in got]).astype("<f8") * seen
+                    yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([weighted.tobytes()], pa.binary())], names=["n", "p"])
+
+            yield from _summed(sets())
+
+        part = docs.filter(round_of(id_col, text_col, rounds) == r).select(F.col(text_col).alias("_t"))
+        sums, tasks = part.mapInArrow(common.lean(run), "n long, p binary"), part.rdd.getNumPartitions()
+        while tasks > 16:  # at most sixteen rows come to the driver
+            sums = sums.withColumn("at", F.floor(F.spark_partition_id() / 16)).repartition(tasks := -(-tasks // 16), "at").select("n", "p").mapInArrow(common.lean(_summed), "n long, p binary")
+        found = sums.collect()
+        if found:
+            total = sum(np.frombuffer(bytes(x["p"]), "<f8") for x in found) / sum(x["n"] for x in found)
+            params = [np.ascontiguousarray(x.reshape(s), np.float32) for x, s in zip(np.split(total, cuts), shapes, strict=True)]
     return counts, head, params, end_rank
 
 
@@ -306,7 +360,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     Learns from the rows whose crc32 of the id as text is no multiple of folds. Tokens are words (A-Z as a-z) and one end for
     each text; null texts are empty. base_score is the smoothed unigram. score is the model's: of the words that are no head words
     it takes the class from the network and the share in it from counts, discounted in favour of words never seen. Words are told
-    apart by 64-bit hashes. Without training rows every word is unseen. Rows repeated with the same id and text score alike.
+    apart by 64-bit hashes. Without training rows every word is unseen. Rows repeated with the same id and text score alike. An
+    empty table gives no rows. Scores depend in their last digits on how the input is split into tasks.
     """
     held = langid.held_out(id_col, folds)
     counts, head, params, end_rank = learn(docs.filter(~held), id_col, text_col)
@@ -315,25 +370,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     def run(batches):
         p, head = known.value
         logs = np.log10(head.counts + 0.1)
-        for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                ranks, cols = [], []
-                for lo, n, h, t in _tokens(b.column(2).slice(i, 2048)):
-                    rank = head.rank(h)
-                    inside = rank >= 0
-                    pair = np.stack([t[~inside], h[~inside].view(np.int64)])
-                    order = np.lexsort(pair[::-1])
-                    pair = pair[:, order]
-                    new = np.flatnonzero(np.concatenate(([True], (pair[:, 1:] != pair[:, :-1]).any(axis=0)))) if pair.shape[1] else np.zeros(0, int)
-                    times = np.diff(np.append(new, pair.shape[1]))
-                    sizes = np.bincount(pair[0, new], minlength=n)
-                    cols.append([b.column(0).slice(i + lo, n), b.column(1).slice(i + lo, n), pa.array(np.bincount(t, minlength=n)), pa.array(np.bincount(t[inside], minlength=n)), pa.array(np.bincount(t[inside], logs[rank[inside]], minlength=n)), common.list_array(pair[1, new], sizes, pa.int64()), common.list_array(times, sizes, pa.int64())])
-                    ranks += _by_text(rank, t, n)
-                got, at = score_texts(p, ranks, head, end_rank), 0
-                for c in cols:
-                    n = len(c[0])
-                    yield pa.RecordBatch.from_arrays([*c, pa.array(got[at : at + n])], names=["_d", "_k", "n_tokens", "n_known", "base", "h", "times", "score"])
-                    at += n
+        for d, key, texts in _of_rows(batches, SCORE_ROWS, 3):
+            ranks, cols = [], []
+            for lo, n, h, t in _tokens(texts):
+                rank = head.rank(h)
+                inside = rank >= 0
+                pair = np.stack([t[~inside], h[~inside].view(np.int64)])
+                order = np.lexsort(pair[::-1])
+                pair = pair[:, order]
+                new = np.flatnonzero(np.concatenate(([True], (pair[:, 1:] != pair[:, :-1]).any(axis=0)))) if pair.shape[1] else np.zeros(0, int)
+                times = np.diff(np.append(new, pair.shape[1]))
+                sizes = np.bincount(pair[0, new], minlength=n)
+                cols.append([d.slice(lo, n), key.slice(lo, n), pa.array(np.bincount(t, minlength=n)), pa.array(np.bincount(t[inside], minlength=n)), pa.array(np.bincount(t[inside], logs[rank[inside]], minlength=n).astype(float)), common.list_array(pair[1, new], sizes, pa.int64()), common.list_array(times, sizes, pa.int64())])
+                ranks += _by_text(rank, t, n)
+            got, at = score_texts(p, ranks, head, end_rank), 0
+            for c in cols:
+                n = len(c[0])
+                yield pa.RecordBatch.from_arrays([*c, pa.array(got[at : at + n])], names=["_d", "_k", "n_tokens", "n_known", "base", "h", "times", "score"])
+                at += n
 
     rows = docs.select(*common.doc_keys(id_col, text_col), F.col(text_col).alias("_t")).mapInArrow(common.lean(run), "_d long, _k long, n_tokens long, n_known long, base double, h array<long>, times array<long>, score double")
     rows = common.materialize(rows, "scored")

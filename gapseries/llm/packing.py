@@ -47,6 +47,8 @@ class _Parts(dict):
         self.merges, self.letters, self.space = self.tokenizer.model.tokenize, _byte_letters(), space
         self.mark = space.translate(self.letters)
         self.plain = _Parts(tokenizer, "") if space else self
+        added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -68,12 +70,13 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     if path not in _loaded:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _loaded[path] = _Parts(tokenizer)
+        _loaded[path] = _Parts(Tokenizer.from_file(path))
     known, out = _loaded[path], []
     plain = known.plain
     for text in texts:
+        if known.added is not None and known.added.search(text):  # tokens of the vocabulary's own in the text are one id
+            out.append(known.whole(text))
+            continue
         if not _simple(text):
             parts = _CUT.split(text)
             out.append(known.whole(parts[0]) + b"".join([known[x[1:]] for x in parts[1:]]))
@@ -145,7 +148,7 @@ class _Bins:
                     mask |= 1 << left
                 room[left].append(b)
 
-    def search(self, passes: int = 6) -> None:
+    def search(self) -> None:
         """Exchanges that fill the fuller of two underfull bins, so that the sum of squared fills grows, until none helps."""
         self.where = defaultdict(dict)  # length -> {item: bin}, of underfull bins
         self.mask = 0
@@ -153,13 +156,12 @@ class _Bins:
             if self.fill[b] < self.cap:
                 for i in items:
                     self._list(i, b)
-        for _ in range(passes):
+        changed = 1
+        while changed:  # the sum of squared fills grows with each, so this ends
             changed = 0
             for b in sorted((b for b in range(len(self.items)) if 0 < self.fill[b] < self.cap), key=lambda b: -self.fill[b]):
                 while 0 < self.fill[b] < self.cap and self._improve(b):
                     changed += 1
-            if not changed:
-                break
 
     def _list(self, i: int, b: int) -> None:
         self.where[self.n[i]][i] = b
@@ -196,8 +198,7 @@ class _Bins:
         for y in {-1: 0} | {self.n[i]: 1 for i in self.items[b]}:
             give = 0 if y == -1 else y
             top = self.mask & ((1 << (give + room + 1)) - 1)
-            tries = 0
-            while top and tries < 24 and best[0] < room:  # one for one, or a move
+            while top and best[0] < room:  # one for one, or a move
                 x = top.bit_length() - 1
                 if x - give <= best[0]:
                     break
@@ -205,9 +206,8 @@ class _Bins:
                     best = (x - give, y, (i,), self.where[x][i])
                     break
                 top ^= 1 << x
-                tries += 1
-            first, tries = self.mask & ((1 << (give + room)) - 1), 0
-            while first and tries < 16 and best[0] < room:  # two for one
+            first = self.mask & ((1 << (give + room)) - 1)
+            while first and best[0] < room:  # two for one
                 x = first.bit_length() - 1
                 rest = self.mask & ((1 << min(x + 1, give + room - x + 1)) - 1)
                 if rest:
@@ -216,7 +216,6 @@ class _Bins:
                         if (to := self._takes(b, give, i, j)) >= 0:
                             best = (x + z - give, y, (i, j), to)
                 first ^= 1 << x
-                tries += 1
             if best[0] == room:
                 break
         gain, y, come, to = best

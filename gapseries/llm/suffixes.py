@@ -25,7 +25,7 @@ LENGTH, GRAM_BYTES = 100, 16
 RANGE_SUFFIXES, SAMPLE_DOCS = 40_000, 1000
 #: Distinct contexts of one gram up to which pairs are compared directly.
 _PAIRS = 24
-_ROW = struct.Struct("<qqqBBB")
+_ROW = struct.Struct("<qqqIII")
 _SHIFT = np.uint64(28)
 
 
