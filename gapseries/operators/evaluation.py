@@ -10,6 +10,11 @@ from gapseries.functions import clip, logit, season, sigmoid, uniform
 MACHINE_EPSILON = 2.220446049250313e-16
 
 
+def mean9(p: str) -> Column:
+    """Mean to nine digits, so that what ties in one engine ties in another."""
+    return F.round(F.avg(p) + 1e-12, 9)
+
+
 def folds(entities: DataFrame, key: str, label: str, n_folds: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:
     """key, label, repeat, fold: stratified, one fold for each key and repeat; seeds are seed + 10007 * repeat."""
     each = entities.select(key, label).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
@@ -69,23 +74,31 @@ def stability(windows: DataFrame, keys: list[str], p: str, label: str) -> DataFr
 
 
 def metrics(rows: DataFrame, keys: list[str], p: str, label: str) -> DataFrame:
-    """Per group: counts, tp, fp, fn, tn, f1, auc (ties count half; null for one class), combined, log_loss, brier.
+    """Per group: counts, tp, fp, fn, tn, f1, auc (ties count half; null for one class), combined, log_loss, brier, accuracy and
+    positive_prediction_rate.
 
-    The AUC needs each distinct score once: counts by score, then a running count of negatives below."""
+    The AUC needs each distinct score once: counts by score, then the negatives below, within 1024 ranges of the score and then
+    from a small table of the ranges' sums, so no task orders a whole group."""
     y, hit = F.col(label), F.col(p) >= 0.5
     q = clip(F.col(p), MACHINE_EPSILON, 1 - MACHINE_EPSILON)
-    by = rows.groupBy(*keys, p).agg(F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(y == 0, 1).otherwise(0)).alias("neg"), F.sum(-F.when(y == 1, F.log(q)).otherwise(F.log(1 - q))).alias("ll"), F.sum((F.col(p) - y) ** 2).alias("br"))
-    w = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0))).withColumn("hit", hit)
+    loss = F.sum(-F.when(y == 1, F.log(q)).otherwise(F.log(1 - q)))
+    by = rows.groupBy(*keys, p).agg(F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(y == 0, 1).otherwise(0)).alias("neg"), loss.alias("ll"), F.sum((F.col(p) - y) ** 2).alias("br"))
+    by = by.withColumn("range", F.floor(F.col(p) * 1024)).withColumn("hit", hit)
+    inside = Window.partitionBy(*keys, "range").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    by = by.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
     n = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
-    g = by.groupBy(*keys).agg(
-        F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("positives"), n("pos", F.col("hit")).alias("tp"), n("neg", F.col("hit")).alias("fp"), n("pos", ~F.col("hit")).alias("fn"), n("neg", ~F.col("hit")).alias("tn"),
-        F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("_u"), F.sum("ll").alias("_ll"), F.sum("br").alias("_br"),
+    r = by.groupBy(*keys, "range").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), n("pos", F.col("hit")).alias("tp"), n("neg", F.col("hit")).alias("fp"), n("pos", ~F.col("hit")).alias("fn"), n("neg", ~F.col("hit")).alias("tn"),
+        F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("ll").alias("ll"), F.sum("br").alias("br"),
     )
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("u", F.col("u") + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    g = r.groupBy(*keys).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("positives"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")], F.sum("u").alias("_u"), F.sum("ll").alias("_ll"), F.sum("br").alias("_br"))
     down = 2 * F.col("tp") + F.col("fp") + F.col("fn")
     pairs = F.col("positives") * (F.col("n") - F.col("positives"))
     g = g.withColumn("f1", F.when(down > 0, 2 * F.col("tp") / down).otherwise(F.lit(0.0))).withColumn("auc", F.when(pairs > 0, F.col("_u") / pairs))
-    return g.withColumn("combined", 0.6 * F.col("f1") + 0.4 * F.col("auc")).withColumn("log_loss", F.col("_ll") / F.col("n")).withColumn("brier", F.col("_br") / F.col("n")).drop("_u", "_ll", "_br")
+    g = g.withColumns({"combined": 0.6 * F.col("f1") + 0.4 * F.col("auc"), "log_loss": F.col("_ll") / F.col("n"), "brier": F.col("_br") / F.col("n")})
+    return g.withColumns({"accuracy": (F.col("tp") + F.col("tn")) / F.col("n"), "positive_prediction_rate": (F.col("tp") + F.col("fp")) / F.col("n")}).drop("_u", "_ll", "_br")
 
 
 def calibration_error(rows: DataFrame, p: str, label: str, bins: int = 15) -> DataFrame:
@@ -114,26 +127,59 @@ def slices() -> Column:
 def slice_metrics(windows: DataFrame, keys: list[str], original: str, p: str, label: str) -> DataFrame:
     """Windows are sliced first, then averaged to originals within the slice, then scored: one explode, no loop over slices."""
     s = windows.select(*keys, original, label, p, F.explode(slices()).alias("s")).select(*keys, original, label, p, "s.*")
-    g = s.groupBy(*keys, "slice_group", "slice_value", original, label).agg(F.avg(p).alias("p"))
+    g = s.groupBy(*keys, "slice_group", "slice_value", original, label).agg(mean9(p).alias("p"))
     return metrics(g, [*keys, "slice_group", "slice_value"], "p", label)
 
 
 def robust(by_repeat: DataFrame, by_fold: DataFrame, by_slice: DataFrame) -> DataFrame:
-    """.5 mean over repeats + .2 worst fold + .15 worst mean by length + .15 worst mean by season, of combined."""
-    a = by_repeat.agg(F.avg("combined").alias("repeat_mean"))
-    b = by_fold.agg(F.min("combined").alias("worst_fold"))
-    m = by_slice.filter(F.col("slice_group").isin("window_length", "season")).groupBy("slice_group", "slice_value").agg(F.avg("combined").alias("m"))
-    worst = m.agg(F.min(F.when(F.col("slice_group") == "window_length", F.col("m"))).alias("worst_length"), F.min(F.when(F.col("slice_group") == "season", F.col("m"))).alias("worst_season"))
+    """.5 mean over repeats + .2 worst fold + .15 worst mean by length + .15 worst mean by season, of combined.
+
+    An undefined component, or window lengths other than 4, 5 and 6, is an error when the row is computed."""
+    strict = lambda name: F.when(F.count("combined") < F.count("*"), F.raise_error(F.lit(f"{name}: combined is undefined")))
+    a = by_repeat.agg(F.coalesce(strict("repeat").cast("double"), F.avg("combined")).alias("repeat_mean"))
+    b = by_fold.agg(F.coalesce(strict("fold").cast("double"), F.min("combined")).alias("worst_fold"))
+    m = by_slice.filter(F.col("slice_group").isin("window_length", "season")).groupBy("slice_group", "slice_value").agg(F.coalesce(strict("slice").cast("double"), F.avg("combined")).alias("m"))
+    length = F.col("slice_group") == "window_length"
+    lengths = F.array_sort(F.collect_set(F.when(length, F.col("slice_value"))))
+    wrong = F.when(lengths != F.array(F.lit("4"), F.lit("5"), F.lit("6")), F.raise_error(F.lit("window lengths must be 4, 5 and 6")))
+    worst = m.agg(F.coalesce(wrong.cast("double"), F.min(F.when(length, F.col("m")))).alias("worst_length"), F.min(F.when(~length, F.col("m"))).alias("worst_season"))
     score = 0.5 * F.col("repeat_mean") + 0.2 * F.col("worst_fold") + 0.15 * F.col("worst_length") + 0.15 * F.col("worst_season")
-    return a.crossJoin(b).crossJoin(worst).withColumn("robust", score)
+    return a.crossJoin(b).crossJoin(worst).withColumn("robust", F.coalesce(score, F.raise_error(F.lit("a component is undefined")).cast("double")))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's, null where a side does not vary (corr itself divides by zero)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
 
+def average_ranks(rows: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """keys, p, rank: the mean rank of each distinct score within its group, by ranges of the score in [0, 1]."""
+    by = rows.groupBy(*keys, p).agg(F.count("*").alias("c")).withColumn("range", F.floor(F.col(p) * 1024))
+    inside = Window.partitionBy(*keys, "range").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = by.groupBy(*keys, "range").agg(F.sum("c").alias("s"))
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"))
+    ranked = by.withColumn("i", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(sizes, [*keys, "range"])
+    return ranked.select(*keys, p, (F.col("s") + F.col("i") + (F.col("c") + 1) / 2).alias("rank"))
 
-def pairwise(rows: DataFrame, p1: str, p2: str, label: str) -> DataFrame:
-    """Correlations of scores and of residuals, disagreement, unique and shared errors and their Jaccard index."""
+
+def pairwise(rows: DataFrame, p1: str, p2: str, label: str, keys: list[str] | None = None) -> DataFrame:
+    """By keys: correlations of scores, ranks and residuals, disagreement (also among positives), what one alone gets right, unique
+    true and false positives, shared errors and their Jaccard index (1 without errors)."""
+    keys = keys or []
     y, a, b = F.col(label), F.col(p1), F.col(p2)
-    ea, eb = ((a >= 0.5).cast("int") != y), ((b >= 0.5).cast("int") != y)
+    up, vp = a >= 0.5, b >= 0.5
+    ea, eb = (up.cast("int") != y), (vp.cast("int") != y)
     n = lambda c: F.count(F.when(c, 1))
-    g = rows.agg(F.corr(a, b).alias("pearson"), F.corr(y - a, y - b).alias("residual_corr"), F.avg(((a >= 0.5) != (b >= 0.5)).cast("double")).alias("disagreement"), n(~ea & eb).alias("only_first_correct"), n(ea & ~eb).alias("only_second_correct"), n(ea & eb).alias("shared_errors"), n(ea | eb).alias("any_error"))
+    ranks = [average_ranks(rows, keys, p).withColumnRenamed("rank", f"_{p}") for p in (p1, p2)]
+    rows = rows.join(ranks[0], [*keys, p1]).join(ranks[1], [*keys, p2])
+    split = (up != vp).cast("double")
+    g = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), correlation(a, b).alias("pearson"), correlation(F.col(f"_{p1}"), F.col(f"_{p2}")).alias("spearman"), correlation(y - a, y - b).alias("residual_corr"),
+        F.avg(split).alias("disagreement"), F.avg(F.when(y == 1, split)).alias("disagreement_positives"), n(~ea & eb).alias("only_first_correct"), n(ea & ~eb).alias("only_second_correct"),
+        n((y == 1) & up & ~vp).alias("unique_tp_first"), n((y == 1) & vp & ~up).alias("unique_tp_second"), n((y == 0) & up & ~vp).alias("unique_fp_first"), n((y == 0) & vp & ~up).alias("unique_fp_second"),
+        n(ea & eb).alias("shared_errors"), n(ea | eb).alias("any_error"),
+    )
     return g.withColumn("error_jaccard", F.when(F.col("any_error") == 0, F.lit(1.0)).otherwise(F.col("shared_errors") / F.col("any_error")))
 
 
@@ -173,11 +219,23 @@ def prior_shift(rows: DataFrame, p: str, train_rate: float, iterations: int = 10
 
 
 def ecdf_shift(long: DataFrame, keys: list[str], x: str, domain: str) -> DataFrame:
-    """ks and wasserstein between domain 0 and 1 of each group: counts by value, then running shares and gaps to the next value."""
-    v = long.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum(F.when(F.col(domain) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(domain) == 1, 1).otherwise(0)).alias("b"))
+    """ks and wasserstein between domain 0 and 1 of each group: counts by value, running shares, gaps to the next value.
+
+    Values are dealt to ranges by 64 approximate quantiles (a bounded sketch; any edges give the same result), counted within
+    ranges, and joined by a small table of the ranges' sums."""
+    rows = long.filter(F.col(x).isNotNull())
+    edges = rows.groupBy(*keys).agg(F.percentile_approx(x, F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("edges"))
+    v = rows.groupBy(*keys, x).agg(F.sum(F.when(F.col(domain) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(domain) == 1, 1).otherwise(0)).alias("b"))
+    v = v.join(edges, keys).withColumn("range", F.size(F.filter("edges", lambda e: e <= F.col(x)))).drop("edges")
+    sums = v.groupBy(*keys, "range").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"), F.min(x).alias("least"))
     w = Window.partitionBy(*keys)
-    run = w.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("d", F.abs(F.sum("a").over(run) / F.sum("a").over(w) - F.sum("b").over(run) / F.sum("b").over(w))).withColumn("gap", F.lead(x).over(w.orderBy(x)) - F.col(x))
+    run = w.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "range", *[F.coalesce(F.sum(c).over(run), F.lit(0)).alias(f"{c}_before") for c in ("ra", "rb")], *[F.sum(c).over(w).alias(f"{c}_all") for c in ("ra", "rb")], F.lead("least").over(w.orderBy("range")).alias("next"))
+    inside = Window.partitionBy(*keys, "range").orderBy(x)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    v = v.withColumns({"a": F.sum("a").over(upto), "b": F.sum("b").over(upto), "after": F.lead(x).over(inside)}).join(sums, [*keys, "range"])
+    d = F.abs((F.col("a") + F.col("ra_before")) / F.col("ra_all") - (F.col("b") + F.col("rb_before")) / F.col("rb_all"))
+    v = v.withColumns({"d": d, "gap": F.coalesce("after", "next") - F.col(x)})
     return v.groupBy(*keys).agg(F.max("d").alias("ks"), F.sum(F.col("d") * F.coalesce("gap", F.lit(0.0))).alias("wasserstein"))
 
 
@@ -203,10 +261,21 @@ def density_weights(rows: DataFrame, p: str, lo: float = 0.5, hi: float = 2.0) -
 
 
 def similarity_holdout(rows: DataFrame, key: str, score: str, label: str, share: float = 0.2, least: int = 2) -> DataFrame:
-    """The most similar share of each class: score descending, then key."""
-    w = Window.partitionBy(label)
-    want = F.greatest(F.lit(least), F.ceil(F.count("*").over(w) * share))
-    return rows.withColumn("rank", F.row_number().over(w.orderBy(F.col(score).desc(), key))).withColumn("want", want).filter("rank <= want").drop("want")
+    """The most similar share of the rows: score descending, then key. max(least, share of all, rounded up) rows in all; each class
+    gives its part, rounded half to even, and the last class what is left. Scores lie in [0, 1]; ranks come from ranges of them."""
+    classes = rows.groupBy(label).agg(F.count("*").alias("c"))
+    every = Window.partitionBy(F.lit(0))
+    want = F.least(F.greatest(F.lit(least), F.ceil(F.round(F.sum("c").over(every) * share, 9))), F.sum("c").over(every))
+    part = F.bround(F.col("want") * F.col("c") / F.sum("c").over(every)).cast("long")
+    quota = classes.withColumn("want", want).withColumn("part", part).withColumn("last", F.col(label) == F.max(label).over(every))
+    others = F.sum(F.when(~F.col("last"), F.col("part")).otherwise(0)).over(every)
+    quota = quota.select(label, F.when(F.col("last"), F.col("want") - others).otherwise(F.col("part")).alias("quota"))
+    r = rows.withColumn("range", -F.floor(F.col(score) * 1024))
+    before = Window.partitionBy(label).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = r.groupBy(label, "range").count().select(label, "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    own = Window.partitionBy(label, "range").orderBy(F.col(score).desc(), key)
+    ranked = r.withColumn("rank", F.row_number().over(own)).join(sizes, [label, "range"]).withColumn("rank", (F.col("rank") + F.col("before")).cast("int"))
+    return ranked.join(F.broadcast(quota), label).filter("rank <= quota").drop("quota", "range", "before")
 
 
 def submission(rows: DataFrame, key: str, p: str) -> DataFrame:

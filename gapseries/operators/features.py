@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gapseries.functions import normalized_difference as nd
 from gapseries.functions import safe_divide
 
-from .panel import BANDS, OPTICAL, RADAR, all_valid
+from .panel import OPTICAL, RADAR, all_valid
 
 LENGTHS = (4, 5, 6)
 #: Roles of the optical bands in configured order (fixed values).
@@ -91,7 +91,8 @@ def longest_run(flags: Column) -> Column:
 def metadata(views: DataFrame, key: str) -> DataFrame:
     """Per window: counts, proportions, longest runs, cyclic months and flags by position; never null."""
     m = F.array_sort(F.collect_list(F.struct("pos", all_valid(RADAR).alias("r"), all_valid(OPTICAL).alias("o"))))
-    counts = [F.count(b).alias(f"{ROLES.get(b, b.lower())}_valid_count") for b in BANDS]
+    counts = [F.count(F.when(all_valid(RADAR), 1)).alias(f"{b.lower()}_valid_count") for b in RADAR]
+    counts += [F.count(b).alias(f"{ROLES[b]}_valid_count") for b in OPTICAL]
     g = views.groupBy(key, "window_id", "window_length", "window_start", "window_end").agg(m.alias("m"), *counts)
     r, o = F.transform("m", lambda x: x["r"]), F.transform("m", lambda x: x["o"])
     size = lambda a: F.size(F.filter(a, lambda x: x))
@@ -120,3 +121,59 @@ def sequences(frame: DataFrame, keys: list[str], name: str, positions: int = 6)
     g = frame.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col(name).alias("x")))).alias("m"))
     steps = F.sequence(F.lit(1), F.lit(positions))
     return g.select(*keys, F.transform(steps, lambda i: F.try_element_at("m", i)).alias("values"), F.transform(steps, lambda i: F.try_element_at("m", i).isNotNull()).alias("mask"), F.transform(steps, lambda i: ~F.map_contains_key("m", i)).alias("padding"))
+
+
+def channel_arrays(panel: DataFrame, key: str) -> DataFrame:
+    """key and months: for each of the twelve months the array of all channels (in the order of channel_names), dense and in order."""
+    c = with_channels(panel, key, "month").select(key, "month", F.array(*[F.col(n).cast("double") for n in channel_names()]).alias("x"))
+    return c.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("month", "x"))), lambda m: m["x"]).alias("months"))
+
+
+def window_arrays(arrays: DataFrame, key: str) -> DataFrame:
+    """key, window columns and channels: for every window of every key, for each channel, its values by position. One row for a key
+    becomes 24 without a shuffle. A difference at the first position looks before the window, so it is null there."""
+    w = F.array(*[F.struct(F.lit(n).alias("window_length"), F.lit(s).alias("window_start"), F.lit(s + n - 1).alias("window_end")) for n in LENGTHS for s in range(1, 14 - n)])
+    rows = arrays.select(key, "months", F.explode(w).alias("w")).select(key, "months", "w.*")
+    rows = rows.withColumn("window_id", F.concat_ws(":", F.col(key).cast("string"), F.col("window_length").cast("string"), F.col("window_start").cast("string")))
+    names = channel_names()
+    cells = F.slice("months", F.col("window_start"), F.col("window_length"))
+    step = F.array(*[F.lit(n.endswith("_first_difference")) for n in names])
+    by_channel = F.transform(step, lambda first, i: F.transform("cells", lambda m, at: F.when(~(first & (at == 0)), F.get(m, i))))
+    return rows.withColumn("cells", cells).withColumn("channels", by_channel).drop("months", "cells")
+
+
+def statistics(values: Column) -> Column:
+    """The 14 statistics (in the order of STATS) of an array of channels' values by position."""
+    known = F.transform(values, lambda a: F.filter(F.transform(a, lambda x, i: F.struct((i + 1).cast("double").alias("p"), x.alias("x"))), lambda y: y["x"].isNotNull()))
+    some = F.transform(known, lambda v: F.struct(v.alias("v"), F.array_sort(F.transform(v, lambda y: y["x"])).alias("s"), F.size(v).alias("n")))
+    total = lambda v, of: F.aggregate(v, F.lit(0.0), lambda a, y: a + of(y))
+    mean = lambda t, of: F.try_divide(total(t["v"], of), t["n"])
+    more = F.transform(some, lambda t: F.struct(t["v"].alias("v"), t["s"].alias("s"), t["n"].alias("n"), mean(t, lambda y: y["x"]).alias("m"), mean(t, lambda y: y["p"]).alias("c")))
+
+    def all_of(t: Column) -> Column:
+        two = lambda x: F.when(t["n"] >= 2, x)
+        at = lambda i: F.get(t["s"], i.cast("int"))
+
+        def quantile(q: float) -> Column:
+            place = (t["n"] - 1) * F.lit(q)
+            lo, part = at(F.floor(place)), place - F.floor(place)
+            return F.when(t["n"] >= 1, F.when(part > 0, lo + (at(F.floor(place) + 1) - lo) * part).otherwise(lo))
+
+        lo, hi = at(F.lit(0)), at(t["n"] - 1)
+        first, last = F.get(t["v"], F.lit(0))["x"], F.get(t["v"], t["n"] - 1)["x"]
+        some = F.when(t["n"] >= 1, F.lit(True))
+        return F.array(
+            t["n"].cast("double"), t["m"], quantile(0.5), two(F.sqrt(total(t["v"], lambda y: (y["x"] - t["m"]) * (y["x"] - t["m"])) / t["n"])), F.when(some, lo), F.when(some, hi), two(hi - lo), quantile(0.25), quantile(0.75),
+            two(quantile(0.75) - quantile(0.25)), F.when(some, first), F.when(some, last), two(last - first),
+            two(total(t["v"], lambda y: (y["p"] - t["c"]) * (y["x"] - t["m"])) / total(t["v"], lambda y: (y["p"] - t["c"]) * (y["p"] - t["c"]))),
+        )
+
+    return F.transform(more, all_of)
+
+
+def window_statistics(arrays: DataFrame, key: str) -> DataFrame:
+    """window_id, channel and the 14 statistics, a row for every window and channel."""
+    names = F.array(*[F.lit(n) for n in channel_names()])
+    rows = window_arrays(arrays, key).select("window_id", F.posexplode(statistics(F.col("channels"))).alias("i", "t"))
+    stats = [F.get("t", F.lit(j)).alias(n) for j, n in enumerate(STATS)]
+    return rows.select("window_id", F.get(names, F.col("i")).alias("channel"), *stats).withColumn("valid_count", F.col("valid_count").cast("long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapseries.functions import bits, uniform
@@ -64,12 +64,11 @@ def missingness(panel: DataFrame, bands: tuple[str, ...] = BANDS) -> DataFrame:
     """level (band, month, sensor, all), key, observations, missing, rate, by one GROUPING SETS over the unpivoted panel."""
     cells = F.array(*[F.struct(F.lit("radar" if b in RADAR else "optical").alias("sensor"), F.lit(b).alias("band"), F.col(b).isNull().alias("missing")) for b in bands])
     flat = panel.select("month", F.explode(cells).alias("c")).select("month", "c.*")
-    flat.createOrReplaceTempView("_cells")
-    return panel.sparkSession.sql("""
-        SELECT CASE WHEN band IS NOT NULL THEN 'band' WHEN month IS NOT NULL THEN 'month' WHEN sensor IS NOT NULL THEN 'sensor' ELSE 'all' END AS level,
-          coalesce(band, CAST(month AS STRING), sensor, 'all') AS key, count(*) AS observations, count_if(missing) AS missing,
-          round(count_if(missing) / count(*), 6) AS rate
-        FROM _cells GROUP BY GROUPING SETS ((band), (month), (sensor), ())""")
+    level = F.when(F.col("band").isNotNull(), "band").when(F.col("month").isNotNull(), "month").when(F.col("sensor").isNotNull(), "sensor").otherwise("all")
+    name = F.coalesce("band", F.col("month").cast("string"), "sensor", F.lit("all"))
+    b, m, n = F.col("band"), F.col("month"), F.col("sensor")
+    g = flat.groupingSets([[b], [m], [n], []], b, m, n).agg(F.count("*").alias("observations"), F.count(F.when(F.col("missing"), 1)).alias("missing"))
+    return g.select(level.alias("level"), name.alias("key"), "observations", "missing", F.round(F.col("missing") / F.col("observations"), 6).alias("rate"))
 
 
 def availability(panel: DataFrame) -> DataFrame:
@@ -99,11 +98,9 @@ def observed_windows(panel: DataFrame, key: str) -> DataFrame:
 
 def distributions(windows: DataFrame) -> DataFrame:
     """Counts and shares by length, by start and length, and by length and gaps, in one GROUPING SETS."""
-    windows.createOrReplaceTempView("_windows")
-    return windows.sparkSession.sql("""
-        SELECT window_length, first_month, gaps, n, round(n / sum(n) OVER (PARTITION BY g), 6) AS share FROM (
-          SELECT window_length, first_month, gaps, count(*) AS n, grouping_id() AS g FROM _windows
-          GROUP BY GROUPING SETS ((window_length), (window_length, first_month), (window_length, gaps)))""")
+    n, m, x = F.col("window_length"), F.col("first_month"), F.col("gaps")
+    g = windows.groupingSets([[n], [n, m], [n, x]], n, m, x).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    return g.select("window_length", "first_month", "gaps", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("g")), 6).alias("share"))
 
 
 def mask_library(windows: DataFrame) -> DataFrame:
@@ -113,13 +110,19 @@ def mask_library(windows: DataFrame) -> DataFrame:
 
 
 def sampled_masks(keys: DataFrame, key: str, library: DataFrame, views: int = 8, seed: int = 42) -> DataFrame:
-    """key, view_index, mask_id: views draws with replacement for each key, by frequency; a range join on cumulated shares.
-
-    The library has at most as many rows as there are window patterns (12 months, so it is broadcast)."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("mask_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = library.agg(F.sum("frequency").alias("total"))
-    cum = library.crossJoin(total).select("mask_id", (F.sum("frequency").over(w) / F.col("total")).alias("hi"), ((F.sum("frequency").over(w) - F.col("frequency")) / F.col("total")).alias("lo"))
+    """key, view_index, mask_id: views draws with replacement for each key, by frequency.
+
+    Each mask stands in every one of 256 equal ranges of [0, 1) that its cumulated share touches; draws meet the masks of their
+    range only."""
+    of = F.substring("mask_id", 1, 2)  # running sums by ranges of the id, which is a hash
+    parts = library.withColumn("part", of)
+    sums = parts.groupBy("part").agg(F.sum("frequency").alias("s"))
+    every = Window.partitionBy(F.lit(0))
+    sums = sums.select("part", F.coalesce(F.sum("s").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(every).alias("total"))
+    own = Window.partitionBy("part").orderBy("mask_id").rowsBetween(Window.unboundedPreceding, 0)
+    upto = parts.join(sums, "part").withColumn("upto", F.col("before") + F.sum("frequency").over(own))
+    cum = upto.select("mask_id", ((F.col("upto") - F.col("frequency")) / F.col("total")).alias("lo"), (F.col("upto") / F.col("total")).alias("hi"))
+    cum = cum.withColumn("range", F.explode(F.sequence(F.floor(F.col("lo") * 256), F.least(F.floor(F.col("hi") * 256), F.lit(255)))))
     draws = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(views - 1))).alias("view_index")).withColumn("u", uniform(F.lit(seed), key, "view_index"))
-    return draws.join(F.broadcast(cum), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select(key, "view_index", "mask_id")
+    draws = draws.withColumn("range", F.floor(F.col("u") * 256))
+    return draws.join(cum, "range").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select(key, "view_index", "mask_id")

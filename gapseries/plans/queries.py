@@ -57,8 +57,8 @@ def views(spark: SparkSession, d: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each entity, repeat and one window in three: label, fold, window columns, two model probabilities."""
-    v = views(spark, d).filter("(entity_id + window_length + window_start) % 3 = 0")
+    """A row for each entity, repeat and window: label, fold, window columns, two model probabilities."""
+    v = views(spark, d)
     w = v.groupBy("entity_id", "window_length", "window_start").agg(F.avg("VV").alias("a"), F.avg("VH").alias("b"), F.count("VV").alias("radar_months"), F.count(F.when(pn.all_valid(pn.OPTICAL), 1)).alias("optical_months"))
     w = w.filter("a is not null").withColumn("gaps", F.col("radar_months") - F.col("optical_months"))
     lab = labels(spark, d)
@@ -71,7 +71,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def originals(spark: SparkSession, d: str) -> DataFrame:
-    return predictions(spark, d).groupBy("entity_id", "repeat", "fold", "label").agg(F.round(F.avg("p1"), 9).alias("p1"), F.round(F.avg("p2"), 9).alias("p2"))
+    return predictions(spark, d).groupBy("entity_id", "repeat", "fold", "label").agg(ev.mean9("p1").alias("p1"), ev.mean9("p2").alias("p2"))
 
 
 @query
@@ -88,26 +88,26 @@ def panel_long(s, d):
 
 @query
 def panel_wide(s, d):
-    return rounded(pn.to_wide(obs(s, d), ["entity_id"], ("VV", "nir")))
+    return rounded(pn.to_wide(obs(s, d), ["entity_id"], pn.BANDS))
 
 
 @query
 def panel_unpivot(s, d):
-    return rounded(pn.to_long(pn.to_wide(obs(s, d), ["entity_id"], ("VV", "nir")), ["entity_id"], ("VV", "nir")))
+    return rounded(pn.to_long(pn.to_wide(obs(s, d), ["entity_id"], pn.BANDS), ["entity_id"], pn.BANDS))
 
 
 def _wide_columns():
-    return [f"{b}_{m:02d}" for m in pn.MONTHS for b in ("VV", "nir")]
+    return [f"{b}_{m:02d}" for m in pn.MONTHS for b in pn.BANDS]
 
 
 @query
 def sentinel_counts(s, d):
-    return pn.sentinel_counts(pn.to_wide(obs(s, d), ["entity_id"], ("VV", "nir")), _wide_columns())
+    return pn.sentinel_counts(pn.to_wide(obs(s, d), ["entity_id"], pn.BANDS), _wide_columns())
 
 
 @query
 def schema_checks(s, d):
-    wide = pn.to_wide(obs(s, d), ["entity_id"], ("VV", "nir")).join(labels(s, d), "entity_id")
+    wide = pn.to_wide(obs(s, d), ["entity_id"], pn.BANDS).join(labels(s, d), "entity_id")
     return pn.check(wide, "entity_id", "label", _wide_columns())
 
 
@@ -154,10 +154,10 @@ def views_sampled(s, d):
 
 @query
 def views_dropout(s, d):
-    """Months that stay after 10 % dropout in one window in three, by hash."""
+    """Months that stay in each window after 10 % dropout, by hash."""
     from gapseries.functions import uniform
 
-    v = views(s, d).filter("(entity_id + window_length + window_start) % 3 = 0")
+    v = views(s, d)
     return v.filter(uniform(F.lit("drop"), "window_id", "month") >= 0.1).groupBy("window_id").agg(F.count("*").alias("kept_months"), F.count("VV").alias("radar_months"))
 
 
@@ -178,9 +178,8 @@ def _window_channels(s, d):
 
 @query
 def window_aggregates(s, d):
-    """14 statistics of four channels for every view."""
-    names = ["radar__vv_over_abs_vh", "radar__vv_first_difference", "optical__ndwi", "optical__chlorophyll_red_edge"]
-    return rounded(ft.aggregates(ft.long_channels(_window_channels(s, d), ["window_id"], "pos", names), ["window_id", "channel"]))
+    """14 statistics of all 32 channels for every view."""
+    return rounded(ft.window_statistics(ft.channel_arrays(panel(s, d), "entity_id"), "entity_id"))
 
 
 @query
@@ -202,13 +201,15 @@ def metadata_46(s, d):
 
 @query
 def relative_positions_wide(s, d):
-    return rounded(ft.relative_positions(_window_channels(s, d), ["window_id"], ["radar__vv", "optical__ndvi"]))
+    return rounded(ft.relative_positions(_window_channels(s, d), ["window_id"], ft.channel_names()))
 
 
 @query
 def sequence_arrays(s, d):
-    out = ft.sequences(_window_channels(s, d), ["window_id"], "radar__vv")
-    return out.select("window_id", F.transform("values", lambda x: near(x)).alias("values"), "mask", "padding")
+    """values, mask and padding of every channel of every window."""
+    frame = ft.long_channels(_window_channels(s, d), ["window_id"], "pos", ft.channel_names())
+    out = ft.sequences(frame, ["window_id", "channel"], "x")
+    return out.select("window_id", "channel", F.transform("values", lambda x: near(x)).alias("values"), "mask", "padding")
 
 
 @query
@@ -228,7 +229,7 @@ def fold_leaks(s, d):
 
 @query
 def sample_weights(s, d):
-    p = predictions(s, d).filter("repeat = 0")
+    p = predictions(s, d).filter("repeat = 0")  # weights do not depend on the repeat
     return rounded(ev.weights(p, "entity_id", "label").select("entity_id", "window_length", "window_start", "equal_weight", "class_weight"))
 
 
@@ -254,37 +255,37 @@ def metrics_repeat_fold(s, d):
 
 @query
 def slice_metrics(s, d):
-    return rounded(ev.slice_metrics(predictions(s, d).withColumn("p1", F.round("p1", 3)), ["repeat"], "entity_id", "p1", "label").drop("log_loss", "brier", "auc", "combined"))
+    return rounded(ev.slice_metrics(predictions(s, d), ["repeat"], "entity_id", "p1", "label"))
 
 
 @query
 def robust_score(s, d):
     o = originals(s, d)
-    return rounded(ev.robust(ev.metrics(o, ["repeat"], "p1", "label"), ev.metrics(o, ["repeat", "fold"], "p1", "label"), ev.slice_metrics(predictions(s, d), ["repeat"], "entity_id", "p1", "label")), 4)
+    return rounded(ev.robust(ev.metrics(o, ["repeat"], "p1", "label"), ev.metrics(o, ["repeat", "fold"], "p1", "label"), ev.slice_metrics(predictions(s, d), ["repeat"], "entity_id", "p1", "label")))
 
 
 @query
 def pairwise_diversity(s, d):
-    return rounded(ev.pairwise(originals(s, d).filter("repeat = 0"), "p1", "p2", "label"))
+    return rounded(ev.pairwise(originals(s, d), "p1", "p2", "label", ["repeat"]))
 
 
 @query
 def blend_grid(s, d):
-    return rounded(ev.blend_grid(originals(s, d).filter("repeat = 0"), ["repeat"], "p1", "p2", "label", 0.1).select("wi", "weight", "n", "tp", "fp", "f1", "log_loss", "brier"))
+    return rounded(ev.blend_grid(originals(s, d), ["repeat"], "p1", "p2", "label"))
 
 
 @query
 def nested_weights(s, d):
-    """For each fold the weight that is best on the others."""
-    o = originals(s, d).filter("repeat = 0")
-    others = o.withColumnRenamed("fold", "own").join(F.broadcast(o.select("fold").distinct()), F.col("own") != F.col("fold"))
-    return rounded(ev.best_weight(ev.blend_grid(others, ["fold"], "p1", "p2", "label"), ["fold"]).select("fold", "weight", "f1", "brier"))
+    """For each repeat and fold the weight that is best on the repeat's other folds."""
+    o = originals(s, d)
+    others = o.withColumnRenamed("fold", "own").join(F.broadcast(o.select("repeat", "fold").distinct()), "repeat").filter("own <> fold")
+    return rounded(ev.best_weight(ev.blend_grid(others, ["repeat", "fold"], "p1", "p2", "label"), ["repeat", "fold"]).select("repeat", "fold", "weight", "f1", "brier"))
 
 
 @query
 def calibration_apply(s, d):
     p = F.col("p1")
-    return rounded(originals(s, d).filter("repeat = 0").select("entity_id", ev.calibrate(p, "sigmoid", 1.2, c=-0.1).alias("p_sigmoid"), ev.calibrate(p, "beta", 1.1, 0.9, 0.05).alias("p_beta")))
+    return rounded(originals(s, d).select("entity_id", "repeat", ev.calibrate(p, "sigmoid", 1.2, c=-0.1).alias("p_sigmoid"), ev.calibrate(p, "beta", 1.1, 0.9, 0.05).alias("p_beta")))
 
 
 @query
@@ -294,15 +295,16 @@ def expected_calibration_error(s, d):
 
 @query
 def prior_shift(s, d):
-    o = originals(s, d).filter("repeat = 0").select("p1").persist()
+    """The positive rate that EM settles at, from the out-of-fold scores of every repeat."""
+    o = originals(s, d).select("p1").persist()
     rate = ev.prior_shift(o, "p1", 0.5)
     o.unpersist()
     return s.range(1).select(F.round(F.lit(rate), 6).alias("positive_rate"))
 
 
 def _domains(s, d):
-    x = panel(s, d).select((F.col("entity_id") % 10000 >= 2001).cast("int").alias("domain"), "VV", "VH", "nir")
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), near(c).alias("x")) for c in ("VV", "VH", "nir")])
+    x = panel(s, d).select((F.col("entity_id") % 10000 >= 2001).cast("int").alias("domain"), *pn.BANDS)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), near(c).alias("x")) for c in pn.BANDS])
     return x.select("domain", F.explode(cells).alias("c")).select("domain", "c.*")
 
 
@@ -372,7 +374,7 @@ def cluster_balance(s, d):
 def permutation_importance(s, d):
     from gapseries.operators import models
 
-    return rounded(models.permutation_importance(_model_rows(s, d), ["VV", "VH", "nir"], "label", "fold"))
+    return rounded(models.permutation_importance(_model_rows(s, d), MODEL_FEATURES, "label", "fold", "entity_id"))
 
 
 @query
@@ -389,7 +391,7 @@ def event_windows(s, d):
 def table_fingerprint(s, d):
     from gapseries.sources import fingerprint
 
-    return fingerprint(s.read.parquet(f"{d}/nation.parquet"))
+    return fingerprint(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
 @query
