@@ -50,8 +50,17 @@ def with_channels(views: DataFrame, key: str, order: str) -> DataFrame:
     return views.withColumns(channels() | {"radar__vv_first_difference": step("VV"), "radar__vh_first_difference": step("VH")})
 
 
+#: Names of the radar channels and of the optical indices, in the order of channels().
+RADAR_CHANNELS = ("vv", "vh", "vv_minus_vh", "vv_plus_vh", "vv_over_abs_vh", "vh_over_abs_vv")
+INDICES = (
+    "ndvi", "ndwi", "mndwi", "ndmi", "nbr", "ndre1", "ndre2", "chlorophyll_red_edge", "nir_over_swir1", "nir_over_swir2", "green_over_swir1",
+    "green_over_swir2", "green_red_contrast", "blue_green_contrast",
+)
+
+
 def channel_names() -> list[str]:
-    return [*channels(), "radar__vv_first_difference", "radar__vh_first_difference"]
+    radar, optical = [f"radar__{c}" for c in RADAR_CHANNELS], [f"optical__{c}" for c in (*ROLES.values(), *INDICES)]
+    return [*radar, *optical, "radar__vv_first_difference", "radar__vh_first_difference"]
 
 
 def long_channels(frame: DataFrame, keys: list[str], order: str, names: list[str]) -> DataFrame:
@@ -130,7 +139,7 @@ def channel_arrays(panel: DataFrame, key: str) -> DataFrame:
 
 
 def window_arrays(arrays: DataFrame, key: str) -> DataFrame:
-    """key, window columns and channels: for every window of every key, for each channel, its values by position. One row for a key
+    """key, window columns, cells (by position, the channels' values) and channels: for every window of every key, for each channel, its values by position. One row for a key
     becomes 24 without a shuffle. A difference at the first position looks before the window, so it is null there."""
     w = F.array(*[F.struct(F.lit(n).alias("window_length"), F.lit(s).alias("window_start"), F.lit(s + n - 1).alias("window_end")) for n in LENGTHS for s in range(1, 14 - n)])
     rows = arrays.select(key, "months", F.explode(w).alias("w")).select(key, "months", "w.*")
@@ -139,7 +148,7 @@ def window_arrays(arrays: DataFrame, key: str) -> DataFrame:
     cells = F.slice("months", F.col("window_start"), F.col("window_length"))
     step = F.array(*[F.lit(n.endswith("_first_difference")) for n in names])
     by_channel = F.transform(step, lambda first, i: F.transform("cells", lambda m, at: F.when(~(first & (at == 0)), F.get(m, i))))
-    return rows.withColumn("cells", cells).withColumn("channels", by_channel).drop("months", "cells")
+    return rows.withColumn("cells", cells).withColumn("channels", by_channel).drop("months")
 
 
 def statistics(values: Column) -> Column:

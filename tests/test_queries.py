@@ -1,11 +1,11 @@
 import pytest
 
-from gapseries.plans.oracles import ORACLES
+from gapseries.plans import more, oracles
 from gapseries.plans.queries import QUERIES
 
 from compare import TABLES, assert_same
 
-SLOW = {"logistic_out_of_fold", "adversarial_auc", "permutation_importance", "prior_shift"}
+ORACLES = oracles.ORACLES | more.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -13,7 +13,7 @@ def test_query_equals_sql(spark, name):
     assert_same(spark, QUERIES[name], ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, TABLES).count() > 0
 
