@@ -311,14 +311,15 @@ def domain_weights(s, d):
     return rounded(oof.fold_weights(rows))
 
 
-_SHIFT = o.ORACLES["ks_wasserstein"].removeprefix("WITH ").replace(" + 3e-10, 5)", _R)
-_PSI = o.ORACLES["psi"].removeprefix("WITH ").replace(" + 3e-10, 5)", _R)
+_R5 = " + 3e-10, 5) + 0.0"
+_SHIFT = o.ORACLES["ks_wasserstein"].removeprefix("WITH ")
+_PSI = o.ORACLES["psi"].removeprefix("WITH ")
 
 
-@sql(f"WITH {o._DOM}, a AS (SELECT feature, {', '.join(f'round(avg((x IS NULL)::INT) FILTER (WHERE domain = {k}){_R} AS missing_rate_{k}, round(avg(x) FILTER (WHERE domain = {k}){_R} AS mean_{k}, round(quantile_cont(x, 0.5) FILTER (WHERE domain = {k}){_R} AS median_{k}' for k in (0, 1))} FROM dom GROUP BY 1), ks AS (WITH {_SHIFT}), ps AS (WITH {_PSI}) SELECT a.*, ks, wasserstein, psi FROM a LEFT JOIN ks USING (feature) LEFT JOIN ps USING (feature)")
+@sql(f"WITH {o._DOM}, a AS (SELECT feature, {', '.join(f'round(avg((x IS NULL)::INT) FILTER (WHERE domain = {k}){_R5} AS missing_rate_{k}, round(avg(x) FILTER (WHERE domain = {k}){_R5} AS mean_{k}, round(quantile_cont(x, 0.5) FILTER (WHERE domain = {k}){_R5} AS median_{k}' for k in (0, 1))} FROM dom GROUP BY 1), ks AS (WITH {_SHIFT}), ps AS (WITH {_PSI}) SELECT a.*, ks, wasserstein, psi FROM a LEFT JOIN ks USING (feature) LEFT JOIN ps USING (feature)")
 def shift_table(s, d):
     """Missing rates, means, medians, KS, Wasserstein and PSI of all bands between early and late entities."""
-    return rounded(oof.shift_table(_domains(s, d)))
+    return rounded(oof.shift_table(_domains(s, d)), 5)
 
 
 @sql(f"WITH {o._OBS} SELECT entity_id, {', '.join(f'round(avg({b}){_R} AS {b}' for b in pn.BANDS)} FROM obs GROUP BY 1")
