@@ -521,3 +521,76 @@ def test_pipeline_stages(spark):
         assert docs.columns == first.columns
     assert 0 < docs.count() < first.count()
     assert corpus_pipeline.run(spark, TABLES).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def plain_language_vector(text):
+    np = common.np
+    rows, letters = langid._symbols(), langid._letters()
+    symbols = [int(rows[ord(c)]) for c in "\0" + text.lower() + "\0"]
+    kept = [s for i, s in enumerate(symbols) if i == 0 or s or symbols[i - 1]]
+    total = np.zeros(langid.DIMENSIONS)
+    for a, b, c in zip(kept, kept[1:], kept[2:], strict=False):
+        if b:
+            total += letters[0][a].astype(float) * letters[1][b] * letters[2][c]
+    size = np.linalg.norm(total)
+    return (total / size if size else total), any(symbols)
+
+
+def plain_pipeline(rows, bench):
+    """(id, text) that the first four stages keep, and the stages' numbers of rows; rows: distinct (id, text, lang)."""
+    np, kept = common.np, []
+    known = {(d, t): plain_language_vector(t or "") for d, t, _ in rows}
+    langs = {}
+    for d, t, lang in rows:
+        if zlib.crc32(b"" if d is None else str(d).encode()) % 5 and lang is not None and t is not None:
+            langs[lang] = langs.get(lang, 0) + known[d, t][0]
+    langs = {k: v / np.linalg.norm(v) for k, v in langs.items() if np.any(v)}
+    for d, t, _ in rows:
+        v, has = known[d, t]
+        if has and (len(t) < langid.MIN_CHARS or max(float(v @ p) for p in langs.values()) >= langid.MIN_SCORE):
+            kept.append((d, t))
+    sizes, first = [len(kept)], {d: c for d, _, c in brute_components(kept)}
+    kept = [(d, t) for d, t in kept if first[d] == d]
+    sizes.append(len(kept))
+    left = plain_dedup(kept)
+    kept = [(d, left[d, t]) for d, t in kept if left[d, t].strip(" \t\n\x0b\x0c\r")]
+    sizes.append(len(kept))
+    words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + 10]) for _, t in bench for w in [words_of(t)] if w for i in range(max(1, len(w) - 9))}
+    hit = lambda t: any(tuple(w[i : i + n]) in windows for w in [words_of(t)] for n in range(1, 11) for i in range(len(w) - n + 1))
+    kept = [(d, t) for d, t in kept if not hit(t)]
+    return kept, [*sizes, len(kept)]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    langs, r = {"de": "abcdef", "en": "ghijkl", "fr": "mnopqr"}, random.Random(70)
+
+    def prose(lang, n):
+        return " ".join("".join(r.choice(langs[lang]) for _ in range(r.randint(2, 7))) + r.choice(["", "", "", ".", ","]) for _ in range(n))
+
+    rows = [(i, prose(lang, r.randint(20, 160)), lang) for i in range(60) for lang in [sorted(langs)[i % 3]]]
+    passage, item = prose("en", 70), prose("de", 14)
+    near = rows[3][1].split()
+    near[10] = "changed"
+    rows += [(100, rows[3][1], "de"), (101, " ".join(near), None), (102, prose("en", 30) + " " + passage + " " + prose("en", 20), "en"), (103, prose("fr", 12) + ". " + passage + " " + prose("fr", 40), "fr")]
+    rows += [(104, prose("de", 40) + " " + item + " " + prose("de", 9), "de"), (105, None, "en"), (106, "", None), (107, "  \n ", "de"), (108, "123 456", "fr"), (109, "xyz " * 120, None), (110, "ab cd", "de"), (111, prose("en", 4000), "en")]
+    bench = [(1, item), (2, None), (3, "...")]
+    spark.createDataFrame([(*x, None, len(x[1] or ""), "clash") for x in [*rows, rows[0], rows[3]]], "doc_id long, text string, lang string, source string, n_chars long, _d string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept, sizes = plain_pipeline(rows, bench)
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] < len(rows) and sizes[1] < sizes[0] and sizes[3] < sizes[2] and 109 not in dict(kept)
+    want = Counter()
+    for d, t in kept:
+        ids = fresh_tokenizer().encode(t, add_special_tokens=False).ids + [2]
+        cut = len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
+        for k, s in enumerate([0, *range(cut, len(ids), 1024)]):
+            part = ids[s : cut if k == 0 else s + 1024]
+            want[d, k, s, len(part), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part))] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert want == Counter(tuple(x) for x in got.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    empty = tmp_path / "empty"
+    spark.read.parquet(f"{tmp_path}/documents.parquet").filter("false").write.parquet(f"{empty}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
