@@ -11,7 +11,7 @@ from gapseries.llm.queries import table, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language."""
+    """Drops texts that are in no language: without letters, or like none of those learned."""
     common.bound_batches(spark)
     return langid.keep_identified(docs)
 
@@ -47,7 +47,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Language vectors, tokens and sequences are beyond SQL; tests hold the operators against brute force.
+#: Language vectors, tokens and sequences are beyond SQL; a test holds every row against a brute-force version of all stages.
 ORACLE_SQL = None
 
 
