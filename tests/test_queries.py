@@ -6,9 +6,11 @@ from gapseries.plans.queries import QUERIES
 from compare import TABLES, assert_same
 
 ORACLES = oracles.ORACLES | more.ORACLES
+#: Columns of feature_set_full, made by the same code.
+SUBSETS = {f"feature_set_{x}" for x in ("relative", "invariant", "radar", "optical")}
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - SUBSETS))
 def test_query_equals_sql(spark, name):
     assert_same(spark, QUERIES[name], ORACLES[name])
 
