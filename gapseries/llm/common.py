@@ -124,6 +124,21 @@ def unpacked(df: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
 BROADCAST_KEYS = 200_000
 
 
+#: A key with more than one in so many of a table's rows is hot; there are fewer such keys than that.
+HOT_PARTS = 1000
+
+
+def join_counted(rows: DataFrame, by_key: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows (total of them) joined with by_key, a materialized row for each key with c, how many of rows have it.
+
+    Hot keys are broadcast, so their rows stay where they are; the others, a thousandth of the rows each at most, are dealt out.
+    """
+    hot = F.col("c") * HOT_PARTS > total
+    few = F.broadcast(by_key.filter(hot))
+    rest = rows.join(F.broadcast(by_key.filter(hot).select(*on)), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(by_key.filter(~hot), on))
+
+
 def without(docs: DataFrame, bad: DataFrame, keys: list[Column]) -> DataFrame:
     """The rows of docs, columns unchanged, whose _d, _k are not in bad (which is counted, so pass a materialized one)."""
     marked = packed(docs, *keys)

@@ -172,7 +172,8 @@ def repeated(docs: DataFrame, scratch: common.Scratch, id_col: str = "doc_id", t
     often = scratch.keep(_counts(texts).filter("c > 1").select("h1"), "often")
     places = scratch.keep(_places(texts, common.key_filter(often, F.col("h1"), often.count())), "places")
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("_d", "_k", "i")).alias("first"), F.count("*").alias("c"))
-    later = places.join(first.filter("c > 1"), ["h1", "h2"]).filter(F.struct("_d", "_k", "i") != F.col("first"))
+    first = scratch.keep(first.filter("c > 1"), "first")
+    later = common.join_counted(places, first, ["h1", "h2"], places.count()).filter(F.struct("_d", "_k", "i") != F.col("first"))
     gone = later.groupBy("_d", "_k").agg(F.sort_array(F.collect_set(F.struct("start", "end", "i", "n"))).alias("runs"))
     return scratch.keep(gone, "repeated")
 
