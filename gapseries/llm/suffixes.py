@@ -4,6 +4,7 @@ Suffixes are sorted where it matters only: every string of `length` bytes holds
 equal strings the same one, so suffixes that begin at anchors show every repeat, with the bytes before them told apart by a
 left context. Tasks sort their suffixes, front-code them (shared length, then the rest) and deal them out by ranges of the
 alphabet; each range merges its sorted runs with a loser tree that compares shared lengths first and bytes only beyond them.
+Grams too frequent for one task do not meet in one: their strings are dealt out one by one, by hash, and the first is aggregated.
 """
 
 from __future__ import annotations
@@ -15,42 +16,72 @@ from bisect import bisect_right
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 LENGTH, GRAM_BYTES = 100, 16
-#: Suffixes that a range aims at; the sample (documents, about) that sets the ranges' bounds, which steer the exchange only.
-RANGE_SUFFIXES, SAMPLE_DOCS = 40_000, 1000
+#: Suffixes that a merge aims at; the most ranges, and the sample (documents, about) that sets their bounds. A range is sliced by
+#: gram where more merges are due. All of it steers the exchange only.
+RANGE_SUFFIXES, RANGES, SAMPLE_DOCS = 40_000, 1024, 1000
+#: Places of one gram up to which they are merged in one task.
+GRAM_PLACES = 40_000
+#: Bytes of a long text that one numpy pass looks at.
+STRETCH = 1 << 20
 #: Distinct contexts of one gram up to which pairs are compared directly.
 _PAIRS = 24
 _ROW = struct.Struct("<qqqIII")
 _SHIFT = np.uint64(28)
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchored(data: np.ndarray, off: np.ndarray, length: int = LENGTH, stretch: int = STRETCH):
+    """(start, anchor, hash of the gram there) of all strings of length bytes within the texts, a stretch of starts at a time.
+    Anchors and hashes do not depend on where stretches begin."""
+    w = length - GRAM_BYTES + 1
+    for lo in range(0, max(len(data) - length + 1, 0), stretch):
+        part = data[lo : lo + stretch + length - 1]
+        n = len(part)
+        up, down = common.powers(n + 1)
+        with np.errstate(over="ignore"):
+            p = np.zeros(n + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:n], out=p[1:])
+            h = common.mix((p[GRAM_BYTES:] - p[:-GRAM_BYTES]) * down[: n - GRAM_BYTES + 1])
+        at = np.arange(len(h), dtype=np.uint64)
+        v = ((h >> _SHIFT) << _SHIFT) | ((np.uint64(1) << _SHIFT) - np.uint64(1) - at)
+        m, span = v, 1
+        while span * 2 <= w:
+            m = np.minimum(m[:-span], m[span:])
+            span *= 2
+        m = np.minimum(m[: len(v) - w + 1], m[w - span : w - span + len(v) - w + 1])
+        start = np.arange(lo, lo + len(m))
+        inside = start + length <= off[np.searchsorted(off, start, side="right")]
+        pos = ((np.uint64(1) << _SHIFT) - np.uint64(1) - (m[inside] & ((np.uint64(1) << _SHIFT) - np.uint64(1)))).astype(np.int64)
+        yield start[inside], pos + lo, h[pos]
+
+
+def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, byte in the block, hash of the gram there) of the anchors of all strings of length bytes within the texts."""
-    n, w = len(data), length - GRAM_BYTES + 1
-    if n < length:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    up, down = common.powers(n + 1)
-    with np.errstate(over="ignore"):
-        p = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=p[1:])
-        h = common.mix((p[GRAM_BYTES:] - p[:-GRAM_BYTES]) * down[: n - GRAM_BYTES + 1])
-    at = np.arange(len(h), dtype=np.uint64)
-    v = ((h >> _SHIFT) << _SHIFT) | ((np.uint64(1) << _SHIFT) - np.uint64(1) - at)
-    m, span = v, 1
-    while span * 2 <= w:
-        m = np.minimum(m[:-span], m[span:])
-        span *= 2
-    m = np.minimum(m[: len(v) - w + 1], m[w - span : w - span + len(v) - w + 1])
-    start = np.arange(len(m))
-    doc = np.searchsorted(off, start, side="right") - 1
-    m = m[start + length <= off[doc + 1]]
-    pos = np.unique((np.uint64(1) << _SHIFT) - np.uint64(1) - (m & ((np.uint64(1) << _SHIFT) - np.uint64(1)))).astype(np.int64)
-    return np.searchsorted(off, pos, side="right") - 1, pos, h[pos]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for _, pos, h in anchored(data, off, length, stretch):
+        at, first = np.unique(pos, return_index=True)
+        found.append((at, h[first]))
+    pos, first = np.unique(np.concatenate([f[0] for f in found]), return_index=True)
+    return np.searchsorted(off, pos, side="right") - 1, pos, np.concatenate([f[1] for f in found])[first]
+
+
+def _digests(data: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
+    """Two 64-bit hashes of the length bytes from each start."""
+    lo, hi = int(start[0]), int(start[-1]) + length
+    part, at = data[lo:hi], start - lo
+    up, down = common.powers(len(part) + 1)
+    out = []
+    for values in (common.BYTE_CASED, common.mix(common.BYTE_CASED)):
+        with np.errstate(over="ignore"):
+            p = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(values[part] * up[: len(part)], out=p[1:])
+            out.append(common.mix((p[at + length] - p[at]) * down[at]).view(np.int64))
+    return out
 
 
 def shared(a: bytes, b: bytes, at: int = 0) -> int:
@@ -191,8 +222,8 @@ def repeats(group: list[tuple], length: int = LENGTH) -> list[tuple[int, int, in
     return out + [(some[j][2], some[j][3], some[j][4] - int(lo[j]), some[j][4] + int(hi[j])) for j in np.flatnonzero(lo >= 0)]
 
 
-def _suffix_runs(docs: DataFrame, lookup, bounds: list[int], length: int) -> DataFrame:
-    """part, run: of each stretch of texts, the front-coded suffixes at anchors whose gram may occur again."""
+def _suffix_runs(docs: DataFrame, lookup, often, bounds: list[int], slices: int, length: int) -> DataFrame:
+    """part, run: of each stretch of texts, the front-coded suffixes at anchors whose gram may occur again, but not often."""
     before = length - GRAM_BYTES
 
     def run(batches):
@@ -202,12 +233,14 @@ def _suffix_runs(docs: DataFrame, lookup, bounds: list[int], length: int) -> Dat
             for lo, off, data in common.text_blocks(b.column(2)):
                 doc, pos, h = anchors(data, off, length)
                 keep = common.may_hold(lookup, h.view(np.int64))
+                if often is not None:
+                    keep &= ~common.may_hold(often, h.view(np.int64))
                 if keep.any():
                     raw = data.tobytes()
                     ids, keys = b.column(0).slice(lo, len(off) - 1).to_pylist(), b.column(1).slice(lo, len(off) - 1).to_pylist()
-                    for t, at in zip(doc[keep].tolist(), pos[keep].tolist(), strict=True):
+                    for t, at, nth in zip(doc[keep].tolist(), pos[keep].tolist(), (h[keep] % np.uint64(slices)).tolist(), strict=True):
                         s = raw[at : min(at + length, int(off[t + 1]))]
-                        part = bisect_right(bounds, int.from_bytes(s[:8], "big"))
+                        part = bisect_right(bounds, int.from_bytes(s[:8], "big")) * slices + nth
                         parts.setdefault(part, []).append((s, ids[t], keys[t], at - int(off[t]), raw[max(at - before, int(off[t])) : at][::-1]))
                         size += 1
                 if size > 50_000:
@@ -217,9 +250,9 @@ def _suffix_runs(docs: DataFrame, lookup, bounds: list[int], length: int) -> Dat
                 yield out(parts)
 
     def out(parts):
-        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([front_code(sorted(v)) for v in parts.values()], pa.binary())], names=["part", "run"])
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([front_code(sorted(v)) for v in parts.values()], pa.binary())], names=["part", "run"])
 
-    return docs.mapInArrow(common.lean(run), "part int, run binary")
+    return docs.mapInArrow(common.lean(run), "part long, run binary")
 
 
 def _merge(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -235,14 +268,41 @@ def _merge(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["_d", "_k", "start", "stop"]).astype("int64")
 
 
+def _frequent(docs: DataFrame, often, length: int) -> DataFrame:
+    """_d, _k, start, stop of the bytes in strings that start earlier, for the strings whose anchor's gram is frequent.
+
+    Each string is a row of its place and 128 bits of hash; the first place of each is aggregated, within tasks first, and a string
+    that is everywhere is joined by broadcast, so no task holds what shares a gram. Strings that follow each other make one span.
+    """
+
+    def run(batches):
+        for b in batches:
+            for lo, off, data in common.text_blocks(b.column(2)):
+                for start, _, h in anchored(data, off, length):
+                    start = start[common.may_hold(often, h.view(np.int64))]
+                    if len(start):
+                        doc = np.searchsorted(off, start, side="right") - 1
+                        row = pa.array(doc + lo)
+                        cols = [pa.array(x) for x in (start - off[doc], *_digests(data, start, length))]
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), *cols], names=["_d", "_k", "start", "h1", "h2"])
+
+    strings = common.materialize(docs.mapInArrow(common.lean(run), "_d long, _k long, start long, h1 long, h2 long"), "strings")
+    place = F.struct("_d", "_k", "start")
+    firsts = common.materialize(strings.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1"), "firsts")
+    later = common.join_counted(strings, firsts, ["h1", "h2"], strings.count()).filter(place != F.col("first"))
+    rank = F.dense_rank().over(Window.partitionBy("_d", "_k").orderBy("start"))
+    stretch = later.select("_d", "_k", "start", (F.col("start") - rank).alias("g")).groupBy("_d", "_k", "g")
+    return stretch.agg(F.min("start").alias("start"), (F.max("start") + length).alias("stop")).drop("g")
+
+
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(copies, spans): documents whose text another with a smaller id has too, as _d, _k; and _d, _k, start, stop of bytes of the
     other documents that lie in strings of length bytes with an earlier start. Spans overlap."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(common.NO_ID)).alias("_d"), F.xxhash64(text).alias("_k"), text.alias("_t")).filter(F.octet_length("_t") >= length)
-    named = base.select("_d", "_k", F.md5(F.col("_t").cast("binary")).alias("m"))
-    firsts = named.groupBy("m").agg(F.min("_d").alias("f"))
-    copies = common.materialize(named.join(firsts, "m").filter("_d <> f").select("_d", "_k").distinct(), "copies")
+    named = common.materialize(base.select("_d", "_k", F.md5(F.col("_t").cast("binary")).alias("m")), "named")
+    firsts = common.materialize(named.groupBy("m").agg(F.min("_d").alias("f"), F.count("*").alias("c")).filter("c > 1"), "firsts")
+    copies = common.materialize(common.join_counted(named, firsts, ["m"], texts := named.count()).filter("_d <> f").select("_d", "_k").distinct(), "copies")
     own = base.join(common.broadcast_if(copies, n := copies.count(), common.BROADCAST_KEYS), ["_d", "_k"], "left_anti")
 
     def grams(batches):
@@ -257,13 +317,20 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(data[p : p + 7].tobytes(), "big") for p in pos.tolist()], pa.int64())], names=["h"])
 
     again = common.materialize(own.select("_t").mapInArrow(common.lean(grams), "h long").groupBy("h").count().filter("count > 1"), "grams")
-    kinds, total = again.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-    parts = max(1, -(-total // RANGE_SUFFIXES))
-    share = min(1.0, SAMPLE_DOCS / max(1, named.count()))
-    seen = np.sort([r[0] << 8 for r in own.sample(share, seed=3).select("_t").mapInArrow(common.lean(heads), "h long").collect()]) if parts > 1 else []
-    bounds = sorted({int(seen[i * len(seen) // parts]) for i in range(1, parts)}) if len(seen) else []
-    runs = _suffix_runs(own.select("_d", "_k", "_t"), common.key_filter(again, F.col("h"), kinds), bounds, length)
+    few = F.col("count") <= GRAM_PLACES
+    kinds, total, frequent = again.agg(F.count("*"), F.coalesce(F.sum(F.when(few, F.col("count"))), F.lit(0)), F.count_if(~few)).first()
+    often = common.key_filter(again.filter(~few), F.col("h"), frequent) if frequent else None
+    parts, bounds = max(1, -(-total // RANGE_SUFFIXES)), []
+    if parts > 1:
+        n = min(parts, RANGES)
+        seen = own.sample(min(1.0, SAMPLE_DOCS / max(1, texts)), seed=3).select("_t").mapInArrow(common.lean(heads), "h long")
+        cuts = seen.agg(F.percentile_approx("h", [i / n for i in range(1, n)], 100 * n).alias("cuts")).first()["cuts"]
+        bounds = sorted({h << 8 for h in cuts or ()})
+    slices = -(-parts // (len(bounds) + 1))
+    runs = _suffix_runs(own.select("_d", "_k", "_t"), common.key_filter(again, F.col("h"), kinds), often, bounds, slices, length)
     spans = runs.groupBy("part").applyInPandas(lambda pdf: _merge(pdf, length), "_d long, _k long, start long, stop long")
+    if often is not None:
+        spans = spans.unionByName(_frequent(own.select("_d", "_k", "_t"), often, length))
     return copies, common.materialize(spans, "spans")
 
 

@@ -497,6 +497,30 @@ def test_suffix_dedup_of_repeated_rows(spark):
     assert want[1][2] == want[common.NO_ID][2] == 0 < want[2][2] and want[3][2] == 200 and want[4][2] == len(lone)
 
 
+@pytest.mark.parametrize("places, hot", [(0, 1), (1, 10**12), (30, 1000)])
+def test_suffix_dedup_of_frequent_grams(spark, monkeypatch, places, hot):
+    """Grams above a bound are settled string by string; hot keys by broadcast or not; several ranges, each in slices."""
+    for module, name, value in ((suffixes, "GRAM_PLACES", places), (suffixes, "RANGE_SUFFIXES", 20), (suffixes, "RANGES", 3), (common, "HOT_PARTS", hot)):
+        monkeypatch.setattr(module, name, value)
+    line = words(40, 50)
+    rows = [(i, words(3 + i % 7, 60 + i) + line + words(5, 100 + i)) for i in range(50)] + [(60 + i, words(30, 51)) for i in range(20)]
+    rows += [(90, line[:130] * 3), (91, "ab" * 200), (91, "ab" * 200), (92, None), (93, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter({x: 2 if x[0] == 91 else 1 for x in suffixes.brute_force([(i, (t or "").encode()) for i, t in set(rows)])})
+    assert Counter(tuple(x) for x in suffixes.summarize(d).collect()) == want
+    assert suffixes.summarize(d.filter("false")).count() == 0
+
+
+def test_anchors_do_not_depend_on_stretches():
+    texts = [words(400, 70).encode(), b"", b"ab" * 300, words(300, 71).encode(), b"x" * 99]
+    data, off = common.np.frombuffer(b"".join(texts), common.np.uint8), common.np.cumsum([0, *map(len, texts)])
+    whole = suffixes.anchors(data, off)
+    for stretch in (1, 77, 1000):
+        assert all((a == b).all() for a, b in zip(whole, suffixes.anchors(data, off, stretch=stretch), strict=True))
+    starts = common.np.concatenate([x[0] for x in suffixes.anchored(data, off, stretch=200)])
+    assert starts.tolist() == [o + i for o, t in zip(off.tolist(), texts, strict=False) for i in range(len(t) - 99)]
+
+
 def assert_suffixes(d):
     want = suffixes.brute_force([(i, (t or "").encode()) for i, t in rows_of(d)])
     assert sorted(tuple(x) for x in suffixes.summarize(d).collect()) == sorted(want)
