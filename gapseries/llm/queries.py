@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, jaccard, langid, lm, packing, quality, spans, suffixes, warc
+from . import chat, common, decontaminate, fim, jaccard, langid, lines, lm, negatives, packing, quality, spans, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,10 +66,26 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.summarize(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return negatives.mine(rows.withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")), F.col("vec_id") % 100 == 0)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(table(spark, sf_dir, "documents"))
+    return out.select("_row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    whole = fim.restored(F.col("output"), F.col("form"))
+    return out.select("_row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_warc_salvage, op3_sentence_span_dedup, op4_benchmark_decontamination, op5_lm_scoring, op6_ngram_jaccard_join,
-        op7_language_id, op8_quality_rules, op9_chat_formatting, op10_suffix_array_dedup,
+        op7_language_id, op8_quality_rules, op9_chat_formatting, op10_suffix_array_dedup, op11_hard_negatives, op12_line_dedup, op13_fill_in_middle,
     )
 }
