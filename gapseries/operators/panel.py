@@ -114,7 +114,7 @@ def sampled_masks(keys: DataFrame, key: str, library: DataFrame, views: int = 8,
 
     Each mask stands in every one of 256 equal ranges of [0, 1) that its cumulated share touches; draws meet the masks of their
     range only."""
-    of = F.substring("mask_id", 1, 2)  # running sums by ranges of the id, which is a hash
+    of = F.substring(F.regexp_replace("mask_id", "^mask_", ""), 1, 2)  # running sums by ranges of the id, which is a hash
     parts = library.withColumn("part", of)
     sums = parts.groupBy("part").agg(F.sum("frequency").alias("s"))
     every = Window.partitionBy(F.lit(0))

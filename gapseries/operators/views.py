@@ -44,14 +44,6 @@ def template_faults(patterns: DataFrame) -> DataFrame:
     return patterns.agg(F.count("*").alias("rows"), n(size == 0).alias("no_radar"), n(held.contains(" ")).alias("radar_gap"), n(~size.isin(4, 5, 6)).alias("wrong_length"), n(outside).alias("optical_outside"), n(partial).alias("optical_partial"))
 
 
-def masked(panel: DataFrame, key: str, drawn: DataFrame, library: DataFrame) -> DataFrame:
-    """The panel once for each drawn view (key, view_index, mask_id), radar null outside the mask's radar months, optical outside its
-    optical ones. library: mask_id, radar_bits, optical_bits."""
-    rows = drawn.join(library.select("mask_id", "radar_bits", "optical_bits"), "mask_id").join(panel, key)
-    on = lambda bits: F.substring(bits, F.col("month"), F.lit(1)) == "1"
-    return rows.withColumns({b: F.when(on(F.col("radar_bits" if b in RADAR else "optical_bits")), F.col(b)) for b in BANDS})
-
-
 def uniform_views(keys: DataFrame, key: str, windows: DataFrame, views: int = 8, seed: int = 42) -> DataFrame:
     """key, view_index and the columns of a window of the 24, drawn with replacement by hash."""
     draws = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(views - 1))).alias("view_index"))

@@ -121,18 +121,6 @@ def pattern_count(s, d):
     return b.agg(F.count_distinct("p").alias("patterns"))
 
 
-_DRAW = o.ORACLES["views_sampled"].removeprefix("WITH ").rpartition(" SELECT ")[0]
-
-
-@sql(f"WITH {_DRAW}, dm AS (SELECT entity_id, view_index, mask_id FROM dr JOIN cum ON u >= lo AND u < hi) SELECT entity_id, view_index, dm.mask_id, count(CASE WHEN substr(radar_bits, month, 1) = '1' THEN VV END) AS radar_months, count(CASE WHEN substr(optical_bits, month, 1) = '1' THEN nir END) AS nir_months, round(sum(CASE WHEN substr(radar_bits, month, 1) = '1' THEN VV END) + 3e-10, 6) + 0.0 AS vv_total, round(sum(CASE WHEN substr(optical_bits, month, 1) = '1' THEN nir END) + 3e-10, 6) + 0.0 AS nir_total FROM dm JOIN lib USING (mask_id) JOIN panel USING (entity_id) GROUP BY 1, 2, 3")
-def views_test_like(s, d):
-    """Eight views of each entity with the values that drawn masks leave."""
-    p = panel(s, d)
-    lib = pn.mask_library(pn.observed_windows(p, "entity_id"))
-    m = vw.masked(p, "entity_id", pn.sampled_masks(labels(s, d), "entity_id", lib), lib)
-    return rounded(m.groupBy("entity_id", "view_index", "mask_id").agg(F.count("VV").alias("radar_months"), F.count("nir").alias("nir_months"), F.sum("VV").alias("vv_total"), F.sum("nir").alias("nir_total")))
-
-
 _UNI = f"{o._LAB}, {o._WIN}, un AS (SELECT entity_id, i::INT AS view_index, floor({o._u('42', chr(39) + 'uniform' + chr(39), 'entity_id', 'i')} * 24)::INT AS window_index FROM lab, (SELECT unnest(range(8)) AS i)), uw AS (SELECT * FROM un JOIN win USING (window_index))"
 
 
