@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gapseries.functions import clip, logit, season, sigmoid, uniform
 
+from . import ordered
+
 MACHINE_EPSILON = 2.220446049250313e-16
 
 
@@ -16,17 +18,13 @@ def mean9(p: str) -> Column:
 
 
 def folds(entities: DataFrame, key: str, label: str, n_folds: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:
-    """key, label, repeat, fold: stratified, one fold for each key and repeat; seeds are seed + 10007 * repeat."""
-    each = entities.select(key, label).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    """key, label, repeat, fold: stratified, one fold for each key and repeat; seeds are seed + 10007 * repeat. A key with two labels,
+    or with a null one, is an error when its row is computed."""
+    each = ordered.one_label(entities, key, label).select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     each = each.withColumn("u", uniform(F.lit(seed) + 10007 * F.col("repeat"), key))
-    # Equal shares of each label by rank; ranks come from ranges of u, so no task orders a whole label.
-    each = each.withColumn("b", F.floor(F.col("u") * 64))
-    own = Window.partitionBy("repeat", label, "b").orderBy("u", key)
-    sizes = each.groupBy("repeat", label, "b").count()
-    before = Window.partitionBy("repeat", label).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("repeat", label, "b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("s"))
-    ranked = each.withColumn("i", F.row_number().over(own) - 1).join(F.broadcast(sizes), ["repeat", label, "b"])
-    return ranked.select(key, label, "repeat", ((F.col("i") + F.col("s")) % n_folds).cast("int").alias("fold"))
+    # Equal shares of each label by rank; u is spread evenly, so ranges of equal width hold like numbers.
+    at = ordered.ranked(each, ["repeat", label], "u", key, "i", F.floor(F.col("u") * 4096))
+    return at.select(key, label, "repeat", ((F.col("i") - 1) % n_folds).cast("int").alias("fold"))
 
 
 def fold_balance(assigned: DataFrame, label: str) -> DataFrame:
@@ -77,13 +75,16 @@ def metrics(rows: DataFrame, keys: list[str], p: str, label: str) -> DataFrame:
     """Per group: counts, tp, fp, fn, tn, f1, auc (ties count half; null for one class), combined, log_loss, brier, accuracy and
     positive_prediction_rate.
 
-    The AUC needs each distinct score once: counts by score, then the negatives below, within 1024 ranges of the score and then
-    from a small table of the ranges' sums, so no task orders a whole group."""
+    A score that is null, NaN or outside [0, 1], or a label other than 0 and 1, is an error when its row is computed.
+
+    The AUC needs each distinct score once: counts by score, then the negatives below, within ranges of the score (finer towards both
+    ends) and then from a table of the ranges' sums, so no task orders a whole group."""
+    rows = ordered.checked(rows, p, label)
     y, hit = F.col(label), F.col(p) >= 0.5
     q = clip(F.col(p), MACHINE_EPSILON, 1 - MACHINE_EPSILON)
     loss = F.sum(-F.when(y == 1, F.log(q)).otherwise(F.log(1 - q)))
     by = rows.groupBy(*keys, p).agg(F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(y == 0, 1).otherwise(0)).alias("neg"), loss.alias("ll"), F.sum((F.col(p) - y) ** 2).alias("br"))
-    by = by.withColumn("range", F.floor(F.col(p) * 1024)).withColumn("hit", hit)
+    by = by.withColumn("range", ordered.score_cell(F.col(p))).withColumn("hit", hit)
     inside = Window.partitionBy(*keys, "range").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
     by = by.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
     n = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
@@ -154,13 +155,9 @@ def correlation(a: Column, b: Column) -> Column:
 
 def average_ranks(rows: DataFrame, keys: list[str], p: str) -> DataFrame:
     """keys, p, rank: the mean rank of each distinct score within its group, by ranges of the score in [0, 1]."""
-    by = rows.groupBy(*keys, p).agg(F.count("*").alias("c")).withColumn("range", F.floor(F.col(p) * 1024))
-    inside = Window.partitionBy(*keys, "range").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = by.groupBy(*keys, "range").agg(F.sum("c").alias("s"))
-    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"))
-    ranked = by.withColumn("i", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(sizes, [*keys, "range"])
-    return ranked.select(*keys, p, (F.col("s") + F.col("i") + (F.col("c") + 1) / 2).alias("rank"))
+    by = rows.groupBy(*keys, p).agg(F.count("*").alias("c"))
+    at = ordered.running(by, keys, p, ["c"], ordered.score_cell(F.col(p)))
+    return at.select(*keys, p, (F.col("before_c") + (F.col("c") + 1) / 2).alias("rank"))
 
 
 def pairwise(rows: DataFrame, p1: str, p2: str, label: str, keys: list[str] | None = None) -> DataFrame:
@@ -219,14 +216,11 @@ def prior_shift(rows: DataFrame, p: str, train_rate: float, iterations: int = 10
 
 
 def ecdf_shift(long: DataFrame, keys: list[str], x: str, domain: str) -> DataFrame:
-    """ks and wasserstein between domain 0 and 1 of each group: counts by value, running shares, gaps to the next value.
-
-    Values are dealt to ranges by 64 approximate quantiles (a bounded sketch; any edges give the same result), counted within
-    ranges, and joined by a small table of the ranges' sums."""
+    """ks and wasserstein between domain 0 and 1 of each group: counts by value, running shares, gaps to the next value. Null where a
+    domain has no value. Values are counted in ranges (see ordered), and joined by the table of the ranges' sums."""
     rows = long.filter(F.col(x).isNotNull())
-    edges = rows.groupBy(*keys).agg(F.percentile_approx(x, F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("edges"))
     v = rows.groupBy(*keys, x).agg(F.sum(F.when(F.col(domain) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(domain) == 1, 1).otherwise(0)).alias("b"))
-    v = v.join(edges, keys).withColumn("range", F.size(F.filter("edges", lambda e: e <= F.col(x)))).drop("edges")
+    v = ordered.with_ranges(v, keys, x)
     sums = v.groupBy(*keys, "range").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"), F.min(x).alias("least"))
     w = Window.partitionBy(*keys)
     run = w.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -234,28 +228,30 @@ def ecdf_shift(long: DataFrame, keys: list[str], x: str, domain: str) -> DataFra
     inside = Window.partitionBy(*keys, "range").orderBy(x)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     v = v.withColumns({"a": F.sum("a").over(upto), "b": F.sum("b").over(upto), "after": F.lead(x).over(inside)}).join(sums, [*keys, "range"])
-    d = F.abs((F.col("a") + F.col("ra_before")) / F.col("ra_all") - (F.col("b") + F.col("rb_before")) / F.col("rb_all"))
+    d = F.abs(F.try_divide(F.col("a") + F.col("ra_before"), F.col("ra_all")) - F.try_divide(F.col("b") + F.col("rb_before"), F.col("rb_all")))
     v = v.withColumns({"d": d, "gap": F.coalesce("after", "next") - F.col(x)})
     return v.groupBy(*keys).agg(F.max("d").alias("ks"), F.sum(F.col("d") * F.coalesce("gap", F.lit(0.0))).alias("wasserstein"))
 
 
 def psi(long: DataFrame, keys: list[str], x: str, domain: str, bins: int = 10) -> DataFrame:
-    """Population stability over quantile bins of the pooled sample; fewer than three distinct edges: 0."""
+    """Population stability over quantile bins of the pooled sample; fewer than three distinct edges: 0; a domain without values: null."""
     rows = long.filter(F.col(x).isNotNull())
-    edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile(F.col(x), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"))
+    edges = ordered.quantiles(rows, keys, x, [i / bins for i in range(bins + 1)]).withColumn("edges", F.array_distinct("quantiles")).drop("quantiles")
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     b = rows.join(edges, keys).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(x))))
     g = b.groupBy(*keys, "bin", F.size("edges").alias("k")).agg(F.sum(F.when(F.col(domain) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(domain) == 1, 1).otherwise(0)).alias("b"))
     w = Window.partitionBy(*keys)
-    pa, pb = (F.greatest(F.col(c) / F.sum(c).over(w), F.lit(1e-6)) for c in ("a", "b"))
-    return g.withColumn("t", (pb - pa) * F.log(pb / pa)).groupBy(*keys).agg(F.when(F.max("k") < 3, F.lit(0.0)).otherwise(F.sum("t")).alias("psi"))
+    total = {c: F.sum(c).over(w) for c in ("a", "b")}
+    pa, pb = (F.when(total[c] > 0, F.greatest(F.try_divide(F.col(c), total[c]), F.lit(1e-6))) for c in ("a", "b"))
+    t = g.withColumn("t", (pb - pa) * F.log(pb / pa))
+    return t.groupBy(*keys).agg(F.when(F.count("t") > 0, F.when(F.max("k") < 3, F.lit(0.0)).otherwise(F.sum("t"))).alias("psi"))
 
 
 def density_weights(rows: DataFrame, p: str, lo: float = 0.5, hi: float = 2.0) -> DataFrame:
     """weight: p / (1 - p) over its median, clipped, and whether it was."""
     q = clip(F.col(p), 1e-6, 1 - 1e-6)
     r = rows.withColumn("_r", q / (1 - q))
-    median = r.agg(F.percentile(F.col("_r"), F.lit(0.5)).alias("_m"))
+    median = ordered.quantiles(r, [], "_r", [0.5]).select(F.get("quantiles", F.lit(0)).alias("_m"))
     raw = F.col("_r") / F.col("_m")
     return r.crossJoin(F.broadcast(median)).withColumns({"weight": clip(raw, lo, hi), "clipped_low": raw < lo, "clipped_high": raw > hi}).drop("_r", "_m")
 
@@ -270,12 +266,8 @@ def similarity_holdout(rows: DataFrame, key: str, score: str, label: str, share:
     quota = classes.withColumn("want", want).withColumn("part", part).withColumn("last", F.col(label) == F.max(label).over(every))
     others = F.sum(F.when(~F.col("last"), F.col("part")).otherwise(0)).over(every)
     quota = quota.select(label, F.when(F.col("last"), F.col("want") - others).otherwise(F.col("part")).alias("quota"))
-    r = rows.withColumn("range", -F.floor(F.col(score) * 1024))
-    before = Window.partitionBy(label).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = r.groupBy(label, "range").count().select(label, "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy(label, "range").orderBy(F.col(score).desc(), key)
-    ranked = r.withColumn("rank", F.row_number().over(own)).join(sizes, [label, "range"]).withColumn("rank", (F.col("rank") + F.col("before")).cast("int"))
-    return ranked.join(F.broadcast(quota), label).filter("rank <= quota").drop("quota", "range", "before")
+    ranked = ordered.ranked(rows, [label], score, key, "rank", ordered.score_cell(F.col(score)), descending=True).withColumn("rank", F.col("rank").cast("int"))
+    return ranked.join(F.broadcast(quota), label).filter("rank <= quota").drop("quota")
 
 
 def submission(rows: DataFrame, key: str, p: str) -> DataFrame:

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gapseries.functions import finite, safe_divide
 from gapseries.functions import normalized_difference as nd
-from gapseries.functions import safe_divide
 
-from .panel import OPTICAL, RADAR, all_valid
+from .panel import BANDS, OPTICAL, RADAR, all_valid
 
 LENGTHS = (4, 5, 6)
 #: Roles of the optical bands in configured order (fixed values).
@@ -33,7 +33,7 @@ def sliding_views(panel: DataFrame, key: str) -> DataFrame:
 def channels() -> dict[str, Column]:
     """The monthly channels but for the two differences, which need the month before."""
     c = F.col
-    radar = {"vv": c("VV"), "vh": c("VH"), "vv_minus_vh": c("VV") - c("VH"), "vv_plus_vh": c("VV") + c("VH"), "vv_over_abs_vh": safe_divide(c("VV"), F.abs(c("VH"))), "vh_over_abs_vv": safe_divide(c("VH"), F.abs(c("VV")))}
+    radar = {"vv": c("VV"), "vh": c("VH"), "vv_minus_vh": finite(c("VV") - c("VH")), "vv_plus_vh": finite(c("VV") + c("VH")), "vv_over_abs_vh": safe_divide(c("VV"), F.abs(c("VH"))), "vh_over_abs_vv": safe_divide(c("VH"), F.abs(c("VV")))}
     index = {
         "ndvi": nd(c("nir"), c("red")), "ndwi": nd(c("green"), c("nir")), "mndwi": nd(c("green"), c("swir1")), "ndmi": nd(c("nir"), c("swir1")),
         "nbr": nd(c("nir"), c("swir2")), "ndre1": nd(c("nira"), c("re1")), "ndre2": nd(c("nira"), c("re2")), "chlorophyll_red_edge": safe_divide(c("nira"), c("re1")) - 1,
@@ -44,13 +44,15 @@ def channels() -> dict[str, Column]:
 
 
 def with_channels(views: DataFrame, key: str, order: str) -> DataFrame:
-    """All 32 channels beside key and order; a difference is null unless both it and the place before are valid (no bridging)."""
+    """All 32 channels beside key and order; a difference is null unless both it and the place before are valid (no bridging). NaN and
+    infinite cells count as missing, as do channels that would be."""
+    views = views.withColumns({b: finite(F.col(b).cast("double")) for b in BANDS})
     w = Window.partitionBy(key).orderBy(order)
-    step = lambda b: F.when(F.lag(order).over(w) == F.col(order) - 1, F.col(b) - F.lag(b).over(w))
+    step = lambda b: finite(F.when(F.lag(order).over(w) == F.col(order) - 1, F.col(b) - F.lag(b).over(w)))
     return views.withColumns(channels() | {"radar__vv_first_difference": step("VV"), "radar__vh_first_difference": step("VH")})
 
 
-#: Names of the radar channels and of the optical indices, in the order of channels().
+#: Names of the radar channels and of the optical indices, in the order of channels(), for use without a session.
 RADAR_CHANNELS = ("vv", "vh", "vv_minus_vh", "vv_plus_vh", "vv_over_abs_vh", "vh_over_abs_vv")
 INDICES = (
     "ndvi", "ndwi", "mndwi", "ndmi", "nbr", "ndre1", "ndre2", "chlorophyll_red_edge", "nir_over_swir1", "nir_over_swir2", "green_over_swir1",
@@ -69,8 +71,10 @@ def long_channels(frame: DataFrame, keys: list[str], order: str, names: list[str
 
 
 def aggregates(long: DataFrame, keys: list[str], x: str = "x", pos: str = "pos") -> DataFrame:
-    """The 14 statistics of x over true positions (gaps kept): null where fewer than one, or for spreads and trends two, are valid."""
-    v, p = F.col(x), F.when(F.col(x).isNotNull(), F.col(pos))
+    """The 14 statistics of x over true positions (gaps kept): null where fewer than one, or for spreads and trends two, are valid. NaN
+    and infinite values are missing ones."""
+    v = finite(F.col(x).cast("double"))
+    p = F.when(v.isNotNull(), F.col(pos))
     n = F.count(v)
     two = lambda e: F.when(n >= 2, e)
     q = lambda f: F.percentile(v, F.lit(f))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gapseries.functions import clip
 
 from . import evaluation as ev
+from . import ordered
 
 #: Flags of the importance report.
 DOMINANT, UNSTABLE_MEAN, UNSTABLE_CV = 0.15, 0.005, 1.5
@@ -167,10 +168,12 @@ def fold_weights(rows: DataFrame, fold: str = "fold") -> DataFrame:
 
 
 def shift_table(long: DataFrame, x: str = "x", domain: str = "domain") -> DataFrame:
-    """feature: missing rates, means and medians of both domains, KS, Wasserstein, PSI; all features in one plan."""
+    """feature: missing rates, means and medians of both domains, KS, Wasserstein, PSI; all features in one plan. What a feature does
+    not have in a domain is null."""
     side = lambda k, c: F.when(F.col(domain) == k, c)
-    stats = [e.alias(f"{n}_{k}") for k in (0, 1) for n, e in (("missing_rate", F.avg(side(k, F.col(x).isNull().cast("double")))), ("mean", F.avg(side(k, F.col(x)))), ("median", F.percentile(side(k, F.col(x)), F.lit(0.5))))]
-    base = long.groupBy("feature").agg(*stats)
+    stats = [e.alias(f"{n}_{k}") for k in (0, 1) for n, e in (("missing_rate", F.avg(side(k, F.col(x).isNull().cast("double")))), ("mean", F.avg(side(k, F.col(x)))))]
+    middle = ordered.quantiles(long, ["feature", domain], x, [0.5]).groupBy("feature").agg(*[F.max(side(k, F.get("quantiles", F.lit(0)))).alias(f"median_{k}") for k in (0, 1)])
+    base = long.groupBy("feature").agg(*stats).join(middle, "feature", "left")
     return base.join(ev.ecdf_shift(long, ["feature"], x, domain), "feature", "left").join(ev.psi(long, ["feature"], x, domain), "feature", "left")
 
 
@@ -197,14 +200,16 @@ def group_importance(stability: DataFrame) -> DataFrame:
 
 
 def normaliser(long: DataFrame, fold: str = "fold") -> DataFrame:
-    """fold, channel, mean, std (population; 1 where 1e-8 or less) of valid cells of the other folds: sums by fold and channel once,
-    then the others' sums from that small table. long: fold, channel, x."""
-    v = long.filter(F.col("x").isNotNull()).groupBy(fold, "channel").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    """fold, channel, mean, std (population; 1 where 1e-8 or less) of valid cells of the other folds: counts, means and variances by
+    fold and channel once, then the others' together from that small table. long: fold, channel, x."""
+    v = long.filter(F.col("x").isNotNull()).groupBy(fold, "channel").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
     held = v.select(F.col(fold).alias("held"), "channel")
-    g = held.join(v, "channel").filter(F.col(fold) != F.col("held")).groupBy("held", "channel").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
-    mean = F.col("s") / F.col("n")
-    std = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
-    return g.select(F.col("held").alias(fold), "channel", "n", mean.alias("mean"), F.when(std > 1e-8, std).otherwise(F.lit(1.0)).alias("std"))
+    w = Window.partitionBy("held", "channel")
+    g = held.join(v, "channel").filter(F.col(fold) != F.col("held")).withColumn("mean", F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w))
+    # Squares of distances from the common mean, so nothing cancels.
+    g = g.groupBy("held", "channel").agg(F.sum("n").alias("n"), F.max("mean").alias("mean"), F.sum(F.col("n") * (F.col("v") + (F.col("m") - F.col("mean")) ** 2)).alias("q"))
+    std = F.sqrt(F.col("q") / F.col("n"))
+    return g.select(F.col("held").alias(fold), "channel", "n", "mean", F.when(std > 1e-8, std).otherwise(F.lit(1.0)).alias("std"))
 
 
 def normalised(long: DataFrame, known: DataFrame, fold: str = "fold") -> DataFrame:

@@ -81,14 +81,16 @@ def availability(panel: DataFrame) -> DataFrame:
 
 def observed_windows(panel: DataFrame, key: str) -> DataFrame:
     """Per key: radar and optical bit strings, first and last radar month, length, whether consecutive, optical months inside and
-    outside, and gaps. panel must be dense."""
+    outside, and gaps. panel must be dense; a key without any radar month is an error when its row is computed."""
     m = F.array_sort(F.collect_list(F.struct("month", all_valid(RADAR).alias("r"), all_valid(OPTICAL).alias("o"))))
     w = panel.groupBy(key).agg(m.alias("m"))
     on = lambda field: bits(F.transform("m", lambda x: x[field]))
     w = w.select(key, on("r").alias("radar_bits"), on("o").alias("optical_bits"))
+    none = F.raise_error(F.concat(F.lit(f"no radar month for {key} "), F.col(key).cast("string"))).cast("string")
+    w = w.withColumn("radar_bits", F.when(F.col("radar_bits").contains("1"), F.col("radar_bits")).otherwise(none))
     first = F.locate("1", F.col("radar_bits"))
     last = F.lit(13) - F.locate("1", F.reverse("radar_bits"))
-    w = w.filter(F.col("radar_bits").contains("1")).withColumn("first_month", first).withColumn("last_month", last).withColumn("window_length", F.col("last_month") - F.col("first_month") + 1)
+    w = w.withColumn("first_month", first).withColumn("last_month", last).withColumn("window_length", F.col("last_month") - F.col("first_month") + 1)
     inside = F.substring("optical_bits", F.col("first_month"), F.col("window_length"))
     ones = lambda s: F.length(s) - F.length(F.replace(s, F.lit("1"), F.lit("")))
     w = w.withColumn("consecutive", ones(F.col("radar_bits")) == F.col("window_length")).withColumn("optical_inside", ones(inside)).withColumn("optical_outside", ones(F.col("optical_bits")) - F.col("optical_inside"))
