@@ -169,3 +169,7 @@ SELECT r.* FROM (SELECT unnest([
 def view_invariants(s, d):
     """How often views and values, some changed on purpose, break each rule of a window dataset."""
     return mk.view_faults(*_spoilt(s, d), "entity_id")
+
+
+#: Of this module's queries, for those that build on them.
+QUERIES_OF, ORACLES_OF = {"manifest_exhaustive": manifest_exhaustive}, {"manifest_exhaustive": _manifest_sql("exhaustive", _WHOLE, 0.1, 0.2)}

@@ -165,7 +165,6 @@ SELECT g.*, ov AS longest_optical_valid_run, om AS longest_optical_missing_run,
     "psi": f"WITH {_DOM}, e AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS edges FROM dv GROUP BY 1), b AS (SELECT dv.*, len(edges) AS k, len(list_filter(edges[2:len(edges) - 1], lambda q: q <= x)) AS bin FROM dv JOIN e USING (feature)), g AS (SELECT feature, bin, max(k) AS k, count(*) FILTER (WHERE domain = 0) AS a, count(*) FILTER (WHERE domain = 1) AS b FROM b GROUP BY 1, 2), s AS (SELECT feature, k, greatest(a / sum(a) OVER (PARTITION BY feature), 1e-6) AS pa, greatest(b / sum(b) OVER (PARTITION BY feature), 1e-6) AS pb FROM g) SELECT feature, round(CASE WHEN max(k) < 3 THEN 0 ELSE sum((pb - pa) * ln(pb / pa)) END, 5) AS psi FROM s GROUP BY 1",
     "density_weights": f"WITH {_PRED}, r AS (SELECT entity_id, least(greatest(p1, 1e-6), 1 - 1e-6) / (1 - least(greatest(p1, 1e-6), 1 - 1e-6)) AS r FROM o0), m AS (SELECT median(r) AS m FROM r) SELECT entity_id, round(least(greatest(r / m, 0.5), 2.0), 4) AS weight, r / m < 0.5 AS clipped_low, r / m > 2 AS clipped_high FROM r, m",
     "similarity_holdout": f"WITH {_PRED}, c AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS t FROM o0 GROUP BY 1), w AS (SELECT *, greatest(2, ceil(round(t * 0.2, 9)))::BIGINT AS want FROM c), q AS (SELECT *, round_even(want * c / t, 0)::BIGINT AS part, label = max(label) OVER () AS last FROM w), z AS (SELECT label, CASE WHEN last THEN want - sum(CASE WHEN last THEN 0 ELSE part END) OVER () ELSE part END AS quota FROM q) SELECT entity_id, label, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p2 DESC, entity_id) AS rank FROM o0) JOIN z USING (label) WHERE rank <= quota",
-    "table_fingerprint": "SELECT count(*) AS rows, " + " || ':' || ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::UBIGINT)::HUGEINT::VARCHAR" for i in range(4)) + " AS fingerprint FROM (SELECT md5(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderpriority)) AS h FROM orders)",
     "prior_shift": f"WITH RECURSIVE {_PRED}, em AS (SELECT 0 AS i, avg(p1) AS rate, 1.0::DOUBLE AS gap FROM orig UNION ALL SELECT i + 1, nx, abs(nx - rate) FROM (SELECT em.i, em.rate, (SELECT avg((em.rate / 0.5) * p1 / ((em.rate / 0.5) * p1 + ((1 - em.rate) / 0.5) * (1 - p1))) FROM orig) AS nx FROM em WHERE i < 100 AND gap >= 1e-8)) SELECT round(max_by(rate, i), 6) AS positive_rate FROM em",
     "submission": f'WITH {_PRED} SELECT entity_id AS "ID", (p1 >= 0.5)::INT AS "TargetF1", round(p1, 6) AS "TargetRAUC" FROM o0',
     "uncertainty": f"WITH {_PRED} SELECT entity_id, round((p1 + p2) / 2, 5) AS p_mean, round(abs(p1 - p2) / 2, 5) AS p_std, round(least(p1, p2), 5) AS p_min, round(greatest(p1, p2), 5) AS p_max, ((p1 >= 0.5) <> (p2 >= 0.5))::INT AS disagree FROM o0",

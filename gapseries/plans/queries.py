@@ -387,13 +387,6 @@ def event_windows(s, d):
     return rounded(w.withColumn("window_start", F.unix_timestamp("window_start")), 4)
 
 
-@query
-def table_fingerprint(s, d):
-    from gapseries.sources import fingerprint
-
-    return fingerprint(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
-
-
 @query
 def fold_labels_documents(s, d):
     """Stratified folds over the labelled documents, and their balance."""

@@ -36,12 +36,3 @@ def check_submission(result: DataFrame, sample: DataFrame) -> dict[str, int]:
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Never overwrites: an existing target is an error."""
     df.write.mode("errorifexists").format(kind).options(**({"header": True} if kind == "csv" else {})).save(path)
-
-
-def fingerprint(df: DataFrame) -> DataFrame:
-    """rows and an order-free fingerprint of a table's content, by one aggregation: sums of four 32-bit parts of each row's MD5
-    (values joined by |, null as a mark of its own), so that repeated rows count as often as they occur."""
-    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in df.columns]))
-    part = lambda i: F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)"))
-    sums = [F.coalesce(part(i), F.lit(0)).cast("string") for i in range(4)]
-    return df.agg(F.count("*").alias("rows"), F.concat_ws(":", *sums).alias("fingerprint"))

@@ -1,6 +1,6 @@
 import pytest
 
-from gapseries.plans import masked, more, oracles  # noqa: F401
+from gapseries.plans import domain, kept, masked, more, oracles  # noqa: F401
 from gapseries.plans.queries import QUERIES
 
 from compare import TABLES, assert_same
