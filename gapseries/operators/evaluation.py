@@ -132,6 +132,37 @@ def slice_metrics(windows: DataFrame, keys: list[str], original: str, p: str, la
     return metrics(g, [*keys, "slice_group", "slice_value"], "p", label)
 
 
+def level_metrics(windows: DataFrame, keys: list[str], original: str, p: str, label: str) -> DataFrame:
+    """keys, level (repeat, fold or a slice group), value and the metrics of originals: all levels in one pass over the windows.
+
+    Each window becomes a row for itself and one for each slice it is in (ten at most); their means by original are then scored in one
+    aggregation, the whole ones a second time by fold. An original with two folds is an error when its row is computed."""
+    every = F.concat(F.array(F.struct(F.lit("repeat").alias("slice_group"), F.lit("all").alias("slice_value"))), slices())
+    s = windows.select(*keys, original, label, "fold", p, F.explode(every).alias("s")).select(*keys, original, label, "fold", p, "s.*")
+    two = F.raise_error(F.concat(F.lit("in two folds: "), F.min(F.col(original).cast("string")))).cast("int")
+    g = s.groupBy(*keys, "slice_group", "slice_value", original, label).agg(mean9(p).alias("p"), F.when(F.min("fold") == F.max("fold"), F.min("fold")).otherwise(two).alias("fold"))
+    here = F.struct(F.col("slice_group").alias("level"), F.col("slice_value").alias("value"))
+    fold = F.struct(F.lit("fold").alias("level"), F.col("fold").cast("string").alias("value"))
+    levels = F.when(F.col("slice_group") == "repeat", F.array(here, fold)).otherwise(F.array(here))
+    m = g.select(*keys, label, "p", F.explode(levels).alias("l")).select(*keys, label, "p", "l.*")
+    return metrics(m, [*keys, "level", "value"], "p", label)
+
+
+def robust_of_levels(levels: DataFrame) -> DataFrame:
+    """robust's columns from the rows of level_metrics, in one pass over them."""
+    used = levels.filter(F.col("level").isin("repeat", "fold", "window_length", "season"))
+    said = F.raise_error(F.concat(F.col("level"), F.lit(": combined is undefined"))).cast("double")
+    used = used.withColumn("combined", F.coalesce("combined", said))
+    # Slices are averaged over repeats; repeats and folds stay apart.
+    m = used.groupBy("level", "value").agg(F.avg("combined").alias("m"), F.min("combined").alias("least"), F.sum("combined").alias("s"), F.count("*").alias("n"))
+    at = lambda level, c: F.when(F.col("level") == level, F.col(c))
+    lengths = F.array_sort(F.collect_set(at("window_length", "value")))
+    wrong = F.when(lengths != F.array(F.lit("4"), F.lit("5"), F.lit("6")), F.raise_error(F.lit("window lengths must be 4, 5 and 6"))).cast("double")
+    g = m.agg((F.sum(at("repeat", "s")) / F.sum(at("repeat", "n"))).alias("repeat_mean"), F.min(at("fold", "least")).alias("worst_fold"), F.coalesce(wrong, F.min(at("window_length", "m"))).alias("worst_length"), F.min(at("season", "m")).alias("worst_season"))
+    score = 0.5 * F.col("repeat_mean") + 0.2 * F.col("worst_fold") + 0.15 * F.col("worst_length") + 0.15 * F.col("worst_season")
+    return g.withColumn("robust", F.coalesce(score, F.raise_error(F.lit("a component is undefined")).cast("double")))
+
+
 def robust(by_repeat: DataFrame, by_fold: DataFrame, by_slice: DataFrame) -> DataFrame:
     """.5 mean over repeats + .2 worst fold + .15 worst mean by length + .15 worst mean by season, of combined.
 

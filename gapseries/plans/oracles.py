@@ -155,6 +155,7 @@ SELECT g.*, ov AS longest_optical_valid_run, om AS longest_optical_missing_run,
     "metrics_repeat": f"WITH {_PRED} {_metrics('orig', 'repeat', 'p1')}",
     "metrics_repeat_fold": f"WITH {_PRED} {_metrics('orig', 'repeat, fold', 'p1')}",
     "slice_metrics": f"WITH {_PRED}, {_SLICED} {_metrics('so', 'repeat, slice_group, slice_value', 'p')}",
+    "level_metrics": f"WITH {_PRED}, {_SLICED}, lm AS (SELECT repeat, 'repeat' AS level, 'all' AS value, entity_id, label, p1 AS p FROM orig UNION ALL SELECT repeat, 'fold', fold::VARCHAR, entity_id, label, p1 FROM orig UNION ALL SELECT repeat, slice_group, slice_value, entity_id, label, p FROM so) {_metrics('lm', 'repeat, level, value', 'p')}",
     "robust_score": f"WITH {_PRED}, {_SLICED}, mr AS ({_metrics('orig', 'repeat', 'p1', 12)}), mf AS ({_metrics('orig', 'repeat, fold', 'p1', 12)}), ms AS ({_metrics('so', 'repeat, slice_group, slice_value', 'p', 12)}), sm AS (SELECT slice_group, slice_value, avg(combined) AS m FROM ms GROUP BY 1, 2), v AS (SELECT (SELECT avg(combined) FROM mr) AS a, (SELECT min(combined) FROM mf) AS b, (SELECT min(m) FROM sm WHERE slice_group = 'window_length') AS c, (SELECT min(m) FROM sm WHERE slice_group = 'season') AS d) SELECT round(a, 6) AS repeat_mean, round(b, 6) AS worst_fold, round(c, 6) AS worst_length, round(d, 6) AS worst_season, round(0.5 * a + 0.2 * b + 0.15 * c + 0.15 * d, 6) AS robust FROM v",
     "pairwise_diversity": f"WITH {_PRED} {_pairwise('orig', 'repeat')}",
     "blend_grid": f"WITH {_PRED}, bw AS (SELECT *, round((100 - wi)::DOUBLE / 100 * p1 + wi::DOUBLE / 100 * p2, 12) AS p FROM orig, (SELECT unnest(range(101))::INT AS wi)) SELECT *, wi::DOUBLE / 100 AS weight FROM ({_metrics('bw', 'repeat, wi', 'p')})",

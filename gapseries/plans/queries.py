@@ -260,8 +260,13 @@ def slice_metrics(s, d):
 
 @query
 def robust_score(s, d):
-    o = originals(s, d)
-    return rounded(ev.robust(ev.metrics(o, ["repeat"], "p1", "label"), ev.metrics(o, ["repeat", "fold"], "p1", "label"), ev.slice_metrics(predictions(s, d), ["repeat"], "entity_id", "p1", "label")))
+    return rounded(ev.robust_of_levels(ev.level_metrics(predictions(s, d), ["repeat"], "entity_id", "p1", "label")))
+
+
+@query
+def level_metrics(s, d):
+    """Metrics by repeat, by fold and by every slice, out of one scan of the predictions."""
+    return rounded(ev.level_metrics(predictions(s, d), ["repeat"], "entity_id", "p1", "label"))
 
 
 @query

@@ -119,3 +119,23 @@ def test_keys_without_radar_are_an_error(spark):
     p = pn.dense(spark.createDataFrame(rows, "k long, month int, " + ", ".join(f"{b} double" for b in pn.BANDS)), ["k"])
     with pytest.raises(Exception, match="no radar month"):
         pn.observed_windows(p, "k").collect()
+
+
+def test_robust_score_of_one_pass(spark):
+    """All levels from one scan: the same figures as level by level, and errors where a component is undefined."""
+    r = random.Random(3)
+    rows = [(k, rep, k % 5, k % 2, n, a, n, r.randrange(n + 1), r.random()) for k in range(60) for rep in range(2) for n in (4, 5, 6) for a in range(1, 14 - n, 2)]
+    w = spark.createDataFrame(rows, "k long, repeat int, fold int, y int, window_length int, window_start int, radar_months int, optical_months int, p double").withColumn("gaps", F.col("radar_months") - F.col("optical_months"))
+    levels = ev.level_metrics(w, ["repeat"], "k", "p", "y")
+    o = w.groupBy("repeat", "k", "fold", "y").agg(ev.mean9("p").alias("p"))
+    apart = ev.robust(ev.metrics(o, ["repeat"], "p", "y"), ev.metrics(o, ["repeat", "fold"], "p", "y"), ev.slice_metrics(w, ["repeat"], "k", "p", "y")).first().asDict()
+    got = ev.robust_of_levels(levels).first().asDict()
+    assert set(got) == set(apart) and all(abs(got[c] - apart[c]) < 1e-12 for c in got)
+    plan = ev.robust_of_levels(levels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ExistingRDD") + plan.count("LocalTableScan") == 1 and "Join" not in plan
+    with pytest.raises(Exception, match="undefined"):
+        ev.robust_of_levels(ev.level_metrics(w.filter("fold <> 1 or y = 1"), ["repeat"], "k", "p", "y")).collect()
+    with pytest.raises(Exception, match="4, 5 and 6"):
+        ev.robust_of_levels(ev.level_metrics(w.filter("window_length < 6"), ["repeat"], "k", "p", "y")).collect()
+    with pytest.raises(Exception, match="in two folds"):
+        ev.level_metrics(w.withColumn("fold", F.when(F.col("window_length") == 5, 4).otherwise(F.col("fold"))), ["repeat"], "k", "p", "y").collect()
