@@ -28,10 +28,10 @@ def _fingerprint_sql(source: str, columns: dict[str, str], order: str) -> str:
     return f"SELECT count(*) AS rows, sha256('{said}|' || count(*) || '|' || {' || chr(58) || '.join(sums)}) AS fingerprint FROM (SELECT h, count(*) OVER () - row_number() OVER (ORDER BY {order}) AS e FROM (SELECT *, md5({text}) AS h FROM {source}))"
 
 
-_ORDERS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_orderpriority": "string"}
+_ORDERS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "date", "o_orderpriority": "string"}
 
 
-@sql(_fingerprint_sql("orders", _ORDERS, "o_orderkey"))
+@sql(_fingerprint_sql("(SELECT * REPLACE (o_orderdate::DATE AS o_orderdate) FROM orders)", _ORDERS, "o_orderkey"))
 def table_fingerprint(s, d):
     """Of the orders in the order of their keys."""
     rows = s.read.parquet(f"{d}/orders.parquet").select(*[F.col(c).cast(t) for c, t in _ORDERS.items()])

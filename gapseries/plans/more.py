@@ -166,11 +166,11 @@ def season_out(s, d):
     return vw.season_out(p.select("repeat", "fold", "window_start", F.concat_ws(":", "entity_id", "window_length", "window_start").alias("window_id")))
 
 
-@sql(f"WITH {_PRED} SELECT window_length, window_start, fold, n FROM (SELECT window_length, window_start, fold, count(*) AS n FROM pred WHERE repeat = 0 GROUP BY GROUPING SETS ((window_length), (window_length, window_start), (fold, window_length)))")
+@sql(f"WITH {_PRED} SELECT window_length, window_start, fold, n FROM (SELECT window_length, window_start, fold, count(*) AS n FROM pred GROUP BY GROUPING SETS ((window_length), (window_length, window_start), (fold, window_length)))")
 def window_audit(s, d):
     """Windows by length, by length and start, and by fold and length, in one plan."""
     a, b, c = F.col("window_length"), F.col("window_start"), F.col("fold")
-    return predictions(s, d).filter("repeat = 0").groupingSets([[a], [a, b], [c, a]], a, b, c).agg(F.count("*").alias("n")).select("window_length", "window_start", "fold", "n")
+    return predictions(s, d).groupingSets([[a], [a, b], [c, a]], a, b, c).agg(F.count("*").alias("n")).select("window_length", "window_start", "fold", "n")
 
 
 @sql(f"WITH {o._VIEWS}, {o._channels('views', 'window_id', 'pos')} " + " UNION ALL ".join(f"SELECT '{n}' AS channel, count(*) AS cells, count({n}) AS valid, count(*) - count({n}) AS missing FROM ch" for n in o._NAMES))
@@ -380,10 +380,10 @@ def normalised_cells(s, d):
     return rounded(z.groupBy("fold", "channel").agg(F.count("*").alias("cells"), F.avg("z").alias("mean_z")), 4)
 
 
-@sql(f"WITH {_PRED} SELECT {_SEASON} AS season, repeat, count(*) AS windows, count(DISTINCT entity_id) AS originals FROM pred WHERE window_start BETWEEN 1 AND 9 AND window_length IN (4, 6) GROUP BY 1, 2")
+@sql(f"WITH {_PRED} SELECT {_SEASON} AS season, repeat, count(*) AS windows, count(DISTINCT entity_id) AS originals FROM pred WHERE window_start BETWEEN 1 AND 9 AND window_length BETWEEN 4 AND 6 GROUP BY 1, 2")
 def season_counts(s, d):
-    """Windows of the shortest and longest lengths by season and repeat."""
-    p = predictions(s, d).filter(F.col("window_start").between(1, 9) & F.col("window_length").isin(4, 6))
+    """Windows by season and repeat."""
+    p = predictions(s, d).filter(F.col("window_start").between(1, 9) & F.col("window_length").between(4, 6))
     return p.groupBy(season(F.col("window_start")).alias("season"), "repeat").agg(F.count("*").alias("windows"), F.count_distinct("entity_id").alias("originals"))
 
 

@@ -161,14 +161,14 @@ SELECT g.*, ov AS longest_optical_valid_run, om AS longest_optical_missing_run,
     "blend_grid": f"WITH {_PRED}, bw AS (SELECT *, round((100 - wi)::DOUBLE / 100 * p1 + wi::DOUBLE / 100 * p2, 12) AS p FROM orig, (SELECT unnest(range(101))::INT AS wi)) SELECT *, wi::DOUBLE / 100 AS weight FROM ({_metrics('bw', 'repeat, wi', 'p')})",
     "nested_weights": f"WITH {_PRED}, fs AS (SELECT DISTINCT repeat, fold AS held FROM orig), bw AS (SELECT orig.repeat, held, wi, label, round((100 - wi)::DOUBLE / 100 * p1 + wi::DOUBLE / 100 * p2, 12) AS p FROM orig JOIN fs ON fold <> held AND orig.repeat = fs.repeat, (SELECT unnest(range(101))::INT AS wi)), m AS ({_metrics('bw', 'repeat, held, wi', 'p', 12)}) SELECT repeat, held AS fold, wi::DOUBLE / 100 AS weight, round(f1, 6) AS f1, round(brier, 6) AS brier FROM m QUALIFY row_number() OVER (PARTITION BY repeat, held ORDER BY round(combined, 9) DESC, round(brier, 9), abs(wi::DOUBLE / 100 - 0.5), round(log_loss, 9), wi) = 1",
     "calibration_apply": f"WITH {_PRED}, q AS (SELECT entity_id, repeat, least(greatest(p1, 1e-6), 1 - 1e-6) AS q FROM orig) SELECT entity_id, repeat, round({_SIG('1.2::DOUBLE * ln(q / (1 - q)) - 0.1')}, 6) AS p_sigmoid, round({_SIG('1.1::DOUBLE * ln(q) - 0.9::DOUBLE * ln(1 - q) + 0.05')}, 6) AS p_beta FROM q",
-    "expected_calibration_error": f"WITH {_PRED}, g AS (SELECT least(floor(p1 * 15), 14) AS b, count(*) AS n, avg(p1) AS m, avg(label) AS r FROM o0 GROUP BY 1) SELECT round(sum(n * abs(m - r)) / sum(n), 6) AS ece FROM g",
+    "expected_calibration_error": f"WITH {_PRED}, g AS (SELECT least(floor(p1 * 15), 14) AS b, count(*) AS n, avg(p1) AS m, avg(label) AS r FROM orig GROUP BY 1) SELECT round(sum(n * abs(m - r)) / sum(n), 6) AS ece FROM g",
     "ks_wasserstein": f"WITH {_DOM}, v AS (SELECT feature, x, count(*) FILTER (WHERE domain = 0) AS a, count(*) FILTER (WHERE domain = 1) AS b FROM dv GROUP BY 1, 2), c AS (SELECT feature, abs(sum(a) OVER r / sum(a) OVER w - sum(b) OVER r / sum(b) OVER w) AS d, lead(x) OVER (PARTITION BY feature ORDER BY x) - x AS gap FROM v WINDOW w AS (PARTITION BY feature), r AS (PARTITION BY feature ORDER BY x ROWS UNBOUNDED PRECEDING)) SELECT feature, round(max(d), 5) AS ks, round(sum(d * coalesce(gap, 0)), 5) AS wasserstein FROM c GROUP BY 1",
     "psi": f"WITH {_DOM}, e AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS edges FROM dv GROUP BY 1), b AS (SELECT dv.*, len(edges) AS k, len(list_filter(edges[2:len(edges) - 1], lambda q: q <= x)) AS bin FROM dv JOIN e USING (feature)), g AS (SELECT feature, bin, max(k) AS k, count(*) FILTER (WHERE domain = 0) AS a, count(*) FILTER (WHERE domain = 1) AS b FROM b GROUP BY 1, 2), s AS (SELECT feature, k, greatest(a / sum(a) OVER (PARTITION BY feature), 1e-6) AS pa, greatest(b / sum(b) OVER (PARTITION BY feature), 1e-6) AS pb FROM g) SELECT feature, round(CASE WHEN max(k) < 3 THEN 0 ELSE sum((pb - pa) * ln(pb / pa)) END, 5) AS psi FROM s GROUP BY 1",
-    "density_weights": f"WITH {_PRED}, r AS (SELECT entity_id, least(greatest(p1, 1e-6), 1 - 1e-6) / (1 - least(greatest(p1, 1e-6), 1 - 1e-6)) AS r FROM o0), m AS (SELECT median(r) AS m FROM r) SELECT entity_id, round(least(greatest(r / m, 0.5), 2.0), 4) AS weight, r / m < 0.5 AS clipped_low, r / m > 2 AS clipped_high FROM r, m",
+    "density_weights": f"WITH {_PRED}, r AS (SELECT entity_id, repeat, least(greatest(p1, 1e-6), 1 - 1e-6) / (1 - least(greatest(p1, 1e-6), 1 - 1e-6)) AS r FROM orig), m AS (SELECT median(r) AS m FROM r) SELECT entity_id, repeat, round(least(greatest(r / m, 0.5), 2.0), 4) AS weight, r / m < 0.5 AS clipped_low, r / m > 2 AS clipped_high FROM r, m",
     "similarity_holdout": f"WITH {_PRED}, c AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS t FROM o0 GROUP BY 1), w AS (SELECT *, greatest(2, ceil(round(t * 0.2, 9)))::BIGINT AS want FROM c), q AS (SELECT *, round_even(want * c / t, 0)::BIGINT AS part, label = max(label) OVER () AS last FROM w), z AS (SELECT label, CASE WHEN last THEN want - sum(CASE WHEN last THEN 0 ELSE part END) OVER () ELSE part END AS quota FROM q) SELECT entity_id, label, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p2 DESC, entity_id) AS rank FROM o0) JOIN z USING (label) WHERE rank <= quota",
     "prior_shift": f"WITH RECURSIVE {_PRED}, em AS (SELECT 0 AS i, avg(p1) AS rate, 1.0::DOUBLE AS gap FROM orig UNION ALL SELECT i + 1, nx, abs(nx - rate) FROM (SELECT em.i, em.rate, (SELECT avg((em.rate / 0.5) * p1 / ((em.rate / 0.5) * p1 + ((1 - em.rate) / 0.5) * (1 - p1))) FROM orig) AS nx FROM em WHERE i < 100 AND gap >= 1e-8)) SELECT round(max_by(rate, i), 6) AS positive_rate FROM em",
     "submission": f'WITH {_PRED} SELECT entity_id AS "ID", (p1 >= 0.5)::INT AS "TargetF1", round(p1, 6) AS "TargetRAUC" FROM o0',
-    "uncertainty": f"WITH {_PRED} SELECT entity_id, round((p1 + p2) / 2, 5) AS p_mean, round(abs(p1 - p2) / 2, 5) AS p_std, round(least(p1, p2), 5) AS p_min, round(greatest(p1, p2), 5) AS p_max, ((p1 >= 0.5) <> (p2 >= 0.5))::INT AS disagree FROM o0",
+    "uncertainty": f"WITH {_PRED} SELECT entity_id || ':' || repeat AS run, round((p1 + p2) / 2, 5) AS p_mean, round(abs(p1 - p2) / 2, 5) AS p_std, round(least(p1, p2), 5) AS p_min, round(greatest(p1, p2), 5) AS p_max, ((p1 >= 0.5) <> (p2 >= 0.5))::INT AS disagree FROM orig",
     "event_windows": "WITH e AS (SELECT epoch(ts) AS t, event_type, value FROM events), w AS (SELECT (floor(t / 7200) - k)::BIGINT * 7200 AS s, event_type, value FROM e, (SELECT unnest(range(3)) AS k)) SELECT s AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean FROM w GROUP BY 1, 2",
     "fold_labels_documents": f"WITH fr AS (SELECT doc_id, quality, r::INT AS repeat, {_u('42 + 10007 * r', 'doc_id')} AS u FROM (SELECT DISTINCT doc_id, quality FROM labels), (SELECT unnest(range(2)) AS r)), fo AS (SELECT *, ((row_number() OVER (PARTITION BY repeat, quality ORDER BY u, doc_id) - 1) % 5)::INT AS fold FROM fr), g AS (SELECT repeat, fold, count(*) AS validation_n, sum(quality)::BIGINT AS validation_positives FROM fo GROUP BY 1, 2) SELECT *, (sum(validation_n) OVER (PARTITION BY repeat) - validation_n)::BIGINT AS train_n, (sum(validation_positives) OVER (PARTITION BY repeat) - validation_positives)::BIGINT AS train_positives FROM g",
 }

@@ -295,7 +295,7 @@ def calibration_apply(s, d):
 
 @query
 def expected_calibration_error(s, d):
-    return rounded(ev.calibration_error(originals(s, d).filter("repeat = 0"), "p1", "label"))
+    return rounded(ev.calibration_error(originals(s, d), "p1", "label"))
 
 
 @query
@@ -325,7 +325,7 @@ def psi(s, d):
 
 @query
 def density_weights(s, d):
-    return rounded(ev.density_weights(originals(s, d).filter("repeat = 0").select("entity_id", "p1"), "p1").drop("p1"), 4)
+    return rounded(ev.density_weights(originals(s, d).select("entity_id", "repeat", "p1"), "p1").drop("p1"), 4)
 
 
 @query
@@ -340,15 +340,16 @@ def submission(s, d):
 
 @query
 def uncertainty(s, d):
-    return rounded(ev.uncertainty(originals(s, d).filter("repeat = 0"), "entity_id", "p1", "p2"), 5)
+    o = originals(s, d).withColumn("run", F.concat_ws(":", "entity_id", "repeat"))
+    return rounded(ev.uncertainty(o, "run", "p1", "p2"), 5)
 
 
 def _model_rows(s, d):
-    x = obs(s, d).groupBy("entity_id").agg(*[F.avg(b).alias(b) for b in ("VV", "VH", "nir", "red", "green")])
+    x = obs(s, d).groupBy("entity_id").agg(*[F.avg(b).alias(b) for b in pn.BANDS])
     return x.join(ev.folds(labels(s, d), "entity_id", "label").select("entity_id", "label", "fold"), "entity_id")
 
 
-MODEL_FEATURES = ["VV", "VH", "nir", "red", "green"]
+MODEL_FEATURES = list(pn.BANDS)
 
 
 @query
@@ -375,6 +376,19 @@ def cluster_balance(s, d):
     return rounded(c.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.avg("label").alias("rate")))
 
 
+@query
+def cluster_holdouts(s, d):
+    """Size and label balance of clusters, made anew for every held-out fold from the rows outside it."""
+    from functools import reduce
+
+    from gapseries.operators import models
+
+    rows = _model_rows(s, d).persist()
+    parts = [models.cluster_holdout(rows, "entity_id", MODEL_FEATURES, "fold", f, least=3) for f in range(5)]
+    made = reduce(DataFrame.unionByName, parts).groupBy("outer_fold", "cluster").agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.avg("label").alias("rate"))
+    return rounded(made)
+
+
 @query
 def permutation_importance(s, d):
     from gapseries.operators import models

@@ -205,3 +205,33 @@ def test_every_checker_finds_its_fault(spark):
     assert contract(w, change(o, "p", F.lit(0.123)))["not_reaggregated"] == 1 and contract(w, o.filter(~first)) == {"not_reaggregated": 1, "not_covered": 1}
     leaks = oof.split_leaks(w.withColumn("fold", F.when(one, (c("fold") + 1) % 5).otherwise(c("fold"))), ["k"]).agg(F.sum("leaks")).first()[0]
     assert leaks == 2 and ev.leaks(w.withColumn("fold", F.when(one, 9).otherwise(c("fold"))), "k").count() == 1
+
+
+def test_clusters_of_every_fold(spark):
+    """Blobs of unlike size, far from each other: none stays under the minimum, scaling is the scope's own, labels play no part."""
+    from gapseries.operators import models
+
+    r = random.Random(5)
+    at = [(0, 0, 30), (50, 0, 25), (0, 80, 25), (51, 3, 4)]
+    rows = [(i, i % 5, r.randrange(2), x + r.gauss(0, 1), (y + r.gauss(0, 1)) * 1e6) for i, (x, y) in enumerate((x, y) for x, y, n in at for _ in range(n))]
+    d = spark.createDataFrame(rows, "k long, fold int, y int, a double, b double").persist()
+    for f in range(5):
+        got = models.cluster_holdout(d, "k", ["a", "b"], "fold", f, k=4, least=8).collect()
+        sizes = Counter(x["cluster"] for x in got)
+        assert len(got) == d.filter(F.col("fold") != f).count() and min(sizes.values()) >= 8 and all(x["fold"] != f == x["outer_fold"] for x in got)
+        assert len({(x["a"] > 25, x["b"] > 4e7, x["cluster"]) for x in got}) >= len(sizes) >= 2
+    other = models.cluster_holdout(d.withColumn("y", 1 - F.col("y")), "k", ["a", "b"], "fold", 4, k=4, least=8).collect()
+    assert {x["k"]: x["cluster"] for x in other} == {x["k"]: x["cluster"] for x in got}
+    with pytest.raises(ValueError, match="too few"):
+        models.cluster_holdout(d, "k", ["a", "b"], "fold", 0, k=4, least=40)
+    with pytest.raises(ValueError, match="repeated or null"):
+        models.cluster_holdout(d.union(d), "k", ["a", "b"], "fold", 0)
+    assert models.merged([[0.0], [1.0], [10.0], [11.0]], [5, 1, 9, 2], 4) == [0, 0, 2, 2] and models.merged([[0.0], [5.0]], [1, 1], 9) in ([0, 0], [1, 1])
+
+
+def test_robust_scaling_of_gaps(spark):
+    from gapseries.operators import models
+
+    d = spark.createDataFrame([(float(i), 7.0, None) for i in range(5)] + [(None, float("nan"), None)], "a double, b double, c double")
+    got = [tuple(r) for r in models.scaled_robustly(d, ["a", "b", "c"]).collect()]
+    assert got == [((i - 2) / 2, 0.0, 0.0) for i in range(5)] + [(0.0, 0.0, 0.0)]
