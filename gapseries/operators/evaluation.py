@@ -246,12 +246,16 @@ def prior_shift(rows: DataFrame, p: str, train_rate: float, iterations: int = 10
     return rate
 
 
+def value_counts(long: DataFrame, keys: list[str], x: str, domain: str) -> DataFrame:
+    """keys, x, a, b: how often each value occurs in domain 0 and in domain 1; what follows from it shares one shuffle of the rows."""
+    n = lambda k: F.sum(F.when(F.col(domain) == k, 1).otherwise(0))
+    return long.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias(x)).agg(n(0).alias("a"), n(1).alias("b"))
+
+
 def ecdf_shift(long: DataFrame, keys: list[str], x: str, domain: str) -> DataFrame:
     """ks and wasserstein between domain 0 and 1 of each group: counts by value, running shares, gaps to the next value. Null where a
     domain has no value. Values are counted in ranges (see ordered), and joined by the table of the ranges' sums."""
-    rows = long.filter(F.col(x).isNotNull())
-    v = rows.groupBy(*keys, x).agg(F.sum(F.when(F.col(domain) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(domain) == 1, 1).otherwise(0)).alias("b"))
-    v = ordered.with_ranges(v, keys, x)
+    v = ordered.with_ranges(value_counts(long, keys, x, domain), keys, x)
     sums = v.groupBy(*keys, "range").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"), F.min(x).alias("least"))
     w = Window.partitionBy(*keys)
     run = w.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -266,11 +270,11 @@ def ecdf_shift(long: DataFrame, keys: list[str], x: str, domain: str) -> DataFra
 
 def psi(long: DataFrame, keys: list[str], x: str, domain: str, bins: int = 10) -> DataFrame:
     """Population stability over quantile bins of the pooled sample; fewer than three distinct edges: 0; a domain without values: null."""
-    rows = long.filter(F.col(x).isNotNull())
-    edges = ordered.quantiles(rows, keys, x, [i / bins for i in range(bins + 1)]).withColumn("edges", F.array_distinct("quantiles")).drop("quantiles")
+    v = value_counts(long, keys, x, domain)
+    edges = ordered.quantiles_of_counts(v.withColumn("c", F.col("a") + F.col("b")), keys, x, "c", [i / bins for i in range(bins + 1)]).withColumn("edges", F.array_distinct("quantiles")).drop("quantiles")
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    b = rows.join(edges, keys).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(x))))
-    g = b.groupBy(*keys, "bin", F.size("edges").alias("k")).agg(F.sum(F.when(F.col(domain) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(domain) == 1, 1).otherwise(0)).alias("b"))
+    b = v.join(edges, keys).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(x))))
+    g = b.groupBy(*keys, "bin", F.size("edges").alias("k")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     w = Window.partitionBy(*keys)
     total = {c: F.sum(c).over(w) for c in ("a", "b")}
     pa, pb = (F.when(total[c] > 0, F.greatest(F.try_divide(F.col(c), total[c]), F.lit(1e-6))) for c in ("a", "b"))

@@ -172,7 +172,9 @@ def shift_table(long: DataFrame, x: str = "x", domain: str = "domain") -> DataFr
     not have in a domain is null."""
     side = lambda k, c: F.when(F.col(domain) == k, c)
     stats = [e.alias(f"{n}_{k}") for k in (0, 1) for n, e in (("missing_rate", F.avg(side(k, F.col(x).isNull().cast("double")))), ("mean", F.avg(side(k, F.col(x)))))]
-    middle = ordered.quantiles(long, ["feature", domain], x, [0.5]).groupBy("feature").agg(*[F.max(side(k, F.get("quantiles", F.lit(0)))).alias(f"median_{k}") for k in (0, 1)])
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias(domain), F.col(c).alias("c")) for k, c in enumerate("ab")]))
+    counts = ev.value_counts(long, ["feature"], x, domain).select("feature", x, sides.alias("s")).select("feature", x, "s.*")
+    middle = ordered.quantiles_of_counts(counts, ["feature", domain], x, "c", [0.5]).groupBy("feature").agg(*[F.max(side(k, F.get("quantiles", F.lit(0)))).alias(f"median_{k}") for k in (0, 1)])
     base = long.groupBy("feature").agg(*stats).join(middle, "feature", "left")
     return base.join(ev.ecdf_shift(long, ["feature"], x, domain), "feature", "left").join(ev.psi(long, ["feature"], x, domain), "feature", "left")
 

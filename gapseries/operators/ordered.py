@@ -1,8 +1,8 @@
 """Order in whole groups without ordering a group in one task: ranges of values, running sums over them, exact quantiles.
 
-Ranges are a function of the value and of exact figures of its group (least value, counts), so every plan that needs them twice gets
-the same ones, also when a task is run again. Their number follows the data: floating ones have 4096 for every halving of the distance
-to the group's least value (or, for scores, to the nearer end of [0, 1]), and what is still crowded is cut again."""
+Ranges are a function of the value and of exact figures of its group (counts, least and greatest), so every plan that needs them twice gets
+the same ones, also when a task is run again. Their number follows the data: there are 4096 for every halving of the distance to zero
+(for scores, to the nearer end of [0, 1]), and what is still crowded is cut again by its own ends."""
 
 from __future__ import annotations
 
@@ -30,10 +30,9 @@ def score_cell(p: Column, bits: int = BITS) -> Column:
 
 def with_ranges(by: DataFrame, keys: list[str], x: str) -> DataFrame:
     """by (a row for each distinct x of a group) with range: a struct that orders as x does. A cell with over CROWDED rows is cut."""
-    # Half of each, so that the distance stays finite.
-    least = by.groupBy(*keys).agg(F.min(F.col(x) / 2).alias("_least"))
-    r = by.join(least, keys).withColumn("_cell", cell(F.col(x) / 2 - F.col("_least"))).drop("_least")
+    r = by.withColumn("_cell", cell(F.col(x)))
     crowded = r.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi")).filter(F.col("_n") > CROWDED).drop("_n")
+    # Half of each, so that distances stay finite.
     piece = F.floor((F.col(x) / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * (PIECES - 1)).cast("int")
     cut = r.join(crowded, [*keys, "_cell"], "left").withColumn("_piece", F.when(F.col("_lo") < F.col("_hi"), piece).otherwise(0))
     return cut.withColumn("range", F.struct("_cell", "_piece")).drop("_cell", "_piece", "_lo", "_hi")
@@ -61,6 +60,12 @@ def quantiles(rows: DataFrame, keys: list[str], x: str, probs: list[float]) -> D
     own = keys or ["_all"]
     rows = rows if keys else rows.withColumn("_all", F.lit(0))
     by = rows.filter(F.col(x).isNotNull()).groupBy(*own, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    return quantiles_of_counts(by, own, "_x", "_c", probs).select(*keys, "quantiles")
+
+
+def quantiles_of_counts(by: DataFrame, own: list[str], x: str, c: str, probs: list[float]) -> DataFrame:
+    """quantiles, from a row for each distinct x of a group with how often it occurs."""
+    by = by.select(*own, F.col(x).alias("_x"), F.col(c).alias("_c")).filter("_c > 0")
     r = with_ranges(by, own, "_x")
     w = Window.partitionBy(*own)
     table = r.groupBy(*own, "range").agg(F.sum("_c").alias("_s"))
@@ -79,7 +84,7 @@ def quantiles(rows: DataFrame, keys: list[str], x: str, probs: list[float]) -> D
     share = F.max("_share")
     each = hit.groupBy(*own, "_i").agg(F.when(share > 0, lo * (1 - share) + hi * share).otherwise(lo).alias("_v"))
     out = each.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda e: e["_v"]).alias("quantiles"))
-    return out.select(*keys, "quantiles")
+    return out.select(*own, "quantiles")
 
 
 def ranked(rows: DataFrame, groups: list[str], x: str, tie: str, name: str, ranges: Column, descending: bool = False) -> DataFrame:
