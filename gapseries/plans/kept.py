@@ -15,7 +15,7 @@ from gapseries.sources import stored as st
 
 from . import masked as pm
 from . import oracles as o
-from .more import _ID, _PRED, _UNI, sql
+from .more import _PRED, _UNI, sql
 from .queries import labels, predictions
 
 
