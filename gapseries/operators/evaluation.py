@@ -102,11 +102,12 @@ def metrics(rows: DataFrame, keys: list[str], p: str, label: str) -> DataFrame:
     return g.withColumns({"accuracy": (F.col("tp") + F.col("tn")) / F.col("n"), "positive_prediction_rate": (F.col("tp") + F.col("fp")) / F.col("n")}).drop("_u", "_ll", "_br")
 
 
-def calibration_error(rows: DataFrame, p: str, label: str, bins: int = 15) -> DataFrame:
-    """ece: sum over equal-width bins of share * |mean p - rate|; p = 1 goes to the last bin."""
+def calibration_error(rows: DataFrame, p: str, label: str, bins: int = 15, keys: list[str] | None = None) -> DataFrame:
+    """ece, by keys: sum over equal-width bins of share * |mean p - rate|; p = 1 goes to the last bin."""
+    keys = keys or []
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1))
-    g = rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("m"), F.avg(F.col(label).cast("double")).alias("r"))
-    return g.agg((F.sum(F.col("n") * F.abs(F.col("m") - F.col("r"))) / F.sum("n")).alias("ece"))
+    g = rows.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("m"), F.avg(F.col(label).cast("double")).alias("r"))
+    return g.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("m") - F.col("r"))) / F.sum("n")).alias("ece"))
 
 
 def slices() -> Column:
@@ -148,17 +149,18 @@ def level_metrics(windows: DataFrame, keys: list[str], original: str, p: str, la
     return metrics(m, [*keys, "level", "value"], "p", label)
 
 
-def robust_of_levels(levels: DataFrame) -> DataFrame:
-    """robust's columns from the rows of level_metrics, in one pass over them."""
+def robust_of_levels(levels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys and robust's columns from the rows of level_metrics, in one pass over them."""
+    keys = keys or []
     used = levels.filter(F.col("level").isin("repeat", "fold", "window_length", "season"))
     said = F.raise_error(F.concat(F.col("level"), F.lit(": combined is undefined"))).cast("double")
     used = used.withColumn("combined", F.coalesce("combined", said))
     # Slices are averaged over repeats; repeats and folds stay apart.
-    m = used.groupBy("level", "value").agg(F.avg("combined").alias("m"), F.min("combined").alias("least"), F.sum("combined").alias("s"), F.count("*").alias("n"))
+    m = used.groupBy(*keys, "level", "value").agg(F.avg("combined").alias("m"), F.min("combined").alias("least"), F.sum("combined").alias("s"), F.count("*").alias("n"))
     at = lambda level, c: F.when(F.col("level") == level, F.col(c))
     lengths = F.array_sort(F.collect_set(at("window_length", "value")))
     wrong = F.when(lengths != F.array(F.lit("4"), F.lit("5"), F.lit("6")), F.raise_error(F.lit("window lengths must be 4, 5 and 6"))).cast("double")
-    g = m.agg((F.sum(at("repeat", "s")) / F.sum(at("repeat", "n"))).alias("repeat_mean"), F.min(at("fold", "least")).alias("worst_fold"), F.coalesce(wrong, F.min(at("window_length", "m"))).alias("worst_length"), F.min(at("season", "m")).alias("worst_season"))
+    g = m.groupBy(*keys).agg((F.sum(at("repeat", "s")) / F.sum(at("repeat", "n"))).alias("repeat_mean"), F.min(at("fold", "least")).alias("worst_fold"), F.coalesce(wrong, F.min(at("window_length", "m"))).alias("worst_length"), F.min(at("season", "m")).alias("worst_season"))
     score = 0.5 * F.col("repeat_mean") + 0.2 * F.col("worst_fold") + 0.15 * F.col("worst_length") + 0.15 * F.col("worst_season")
     return g.withColumn("robust", F.coalesce(score, F.raise_error(F.lit("a component is undefined")).cast("double")))
 

@@ -107,8 +107,8 @@ def production_weight(nested: DataFrame, step: float = 0.01) -> DataFrame:
     return nested.agg((F.round(F.percentile("weight", F.lit(0.5)) / step) * step).alias("weight"))
 
 
-def fit_calibrators(rows: DataFrame, p: str, label: str, how: str, c: float = 10.0, steps: int = 25) -> DataFrame:
-    """repeat, fold and the coefficients a, b, c of a calibrator fitted on the originals of the repeat's other folds.
+def fit_calibrators(rows: DataFrame, p: str, label: str, how: str, c: float = 10.0, steps: int = 25, held: list[tuple[int, int]] | None = None) -> DataFrame:
+    """repeat, fold and the coefficients a, b, c of a calibrator fitted on the originals of the repeat's other folds; held: only for these.
 
     Penalised logistic regression (inverse strength c, intercept free) of logit p (sigmoid: b is 0) or of ln p and -ln(1 - p) (beta) by
     Newton steps: each step is one aggregation of gradients and curvatures by repeat and fold, whatever the number of rows."""
@@ -116,7 +116,7 @@ def fit_calibrators(rows: DataFrame, p: str, label: str, how: str, c: float = 10
     xs = [F.log(q / (1 - q))] if how == "sigmoid" else [F.log(q), -F.log(1 - q)]
     data = rows.select("repeat", "fold", F.col(label).cast("double").alias("y"), *[x.alias(f"x{i}") for i, x in enumerate(xs)]).persist()
     k = len(xs)
-    held = sorted((r["repeat"], r["fold"]) for r in data.select("repeat", "fold").distinct().collect())  # folds: a few
+    held = held or sorted((r["repeat"], r["fold"]) for r in data.select("repeat", "fold").distinct().collect())  # folds: a few
     theta = {h: np.zeros(k + 1) for h in held}
     x = [F.col(f"x{i}") for i in range(k)] + [F.lit(1.0)]
     for _ in range(steps):

@@ -282,9 +282,11 @@ def blend_grid(s, d):
 @query
 def nested_weights(s, d):
     """For each repeat and fold the weight that is best on the repeat's other folds."""
-    o = originals(s, d)
-    others = o.withColumnRenamed("fold", "own").join(F.broadcast(o.select("repeat", "fold").distinct()), "repeat").filter("own <> fold")
-    return rounded(ev.best_weight(ev.blend_grid(others, ["repeat", "fold"], "p1", "p2", "label"), ["repeat", "fold"]).select("repeat", "fold", "weight", "f1", "brier"))
+    from gapseries.operators import choice
+    from gapseries.sources.stored import materialize
+
+    w = choice.nested(materialize(originals(s, d), "originals"), "repeat", "fold", "p1", "p2", "label")
+    return rounded(w.select("repeat", "fold", "weight", F.col("training_f1").alias("f1"), F.col("training_brier").alias("brier")))
 
 
 @query
