@@ -5,7 +5,7 @@ import sys
 
 import pytest
 
-from gapseries.plans import chosen, domain, kept, masked, more, oracles  # noqa: F401
+from gapseries.plans import chosen, domain, kept, masked, more, oracles, whole  # noqa: F401
 from gapseries.plans.queries import QUERIES
 
 from compare import TABLES, assert_same
