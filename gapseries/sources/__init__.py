@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from gapseries.operators.panel import BANDS, MONTHS
 
+from .stored import fingerprint  # noqa: F401
+
 
 def wide_schema(label: str | None = None, id_col: str = "ID", bands: tuple[str, ...] = BANDS) -> T.StructType:
     """ID as string, the label if there is one, then a double for each month and band, month by month."""
