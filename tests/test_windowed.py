@@ -43,3 +43,8 @@ def test_rounding_is_that_of_decimals(spark):
     rows = [(x,) for x in [None, 0.0, -0.0, 0.5, 2.5e-6, 1e15, -1e300, float("inf"), 123456.7890125, -3.1415925] + [r.uniform(-1e4, 1e4) for _ in range(500)]]
     df = spark.createDataFrame(rows, "x double").selectExpr("x", "round(x + 3e-10D, 6) + 0D as want").withColumn("got", near("x"))
     assert df.filter("not (got <=> want)").count() == 0
+
+
+def test_year_statistics_take_no_buffers_of_values(spark):
+    plan = QUERIES["aggregates_all_channels"](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "channel#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
