@@ -96,18 +96,19 @@ def nested(rows: DataFrame, repeat: str, fold: str, p1: str, p2: str, label: str
     """repeat, fold and the weight that is best (as evaluation.best_weight says) on the repeat's other folds, with training_ and heldout_ f1,
     auc, combined, brier and log_loss.
 
-    Rows are counted once, by their own fold; the counts of the others are sums of counts. Only weights that can win are ranked."""
+    Rows are counted once, by their own fold; the counts of the others are sums of counts. Only weights that can win are ranked. Weights are
+    broadcast (k + 1 rows at most for each repeat and fold), as a join by repeat would put all rows into a task for each repeat."""
     keys = [repeat, fold]
     own = flips(rows, keys, p1, p2, label, k)
     table = swept(_but_one(own, [repeat], fold, ["at", "up", "y"], ["n", "a", "b", "c"]), keys, k)
     bounds = auc_bounds(_but_one(score_cells(rows, keys, p1, p2, label, k), [repeat], fold, ["wi", "cell"], ["pos", "neg"]), keys)
     some = can_win(table, bounds, keys)
     base = rows.select(repeat, F.col(fold).alias("_own"), label, p1, p2)
-    exact = ev.metrics(base.join(some, repeat).filter(F.col("_own") != F.col(fold)).withColumn("p", _score(p1, p2, F.col("wi"), k)), [*keys, "wi"], "p", label)
+    exact = ev.metrics(base.join(F.broadcast(some), repeat).filter(F.col("_own") != F.col(fold)).withColumn("p", _score(p1, p2, F.col("wi"), k)), [*keys, "wi"], "p", label)
     best = ev.best_weight(exact.withColumn("weight", F.col("wi") / k), keys)
     names = ("f1", "auc", "combined", "brier", "log_loss")
     best = best.select(*keys, "wi", "weight", *[F.col(c).alias(f"training_{c}") for c in names])
-    held = ev.metrics(rows.join(best.select(*keys, "wi"), keys).withColumn("p", _score(p1, p2, F.col("wi"), k)), keys, "p", label)
+    held = ev.metrics(rows.join(F.broadcast(best.select(*keys, "wi")), keys).withColumn("p", _score(p1, p2, F.col("wi"), k)), keys, "p", label)
     return best.drop("wi").join(held.select(*keys, *[F.col(c).alias(f"heldout_{c}") for c in names]), keys)
 
 
@@ -119,7 +120,7 @@ def blend_reports(windows: DataFrame, learned: DataFrame, original: str, p1: str
     weight: how the rule of learning does, not a candidate. All are scored in one pass over the windows."""
     median = oof.production_weight(learned, 1 / k).first()["weight"]
     weights = sorted({round(float(w), 10) for w in (*fixed, median)})
-    own = windows.join(learned.select("repeat", "fold", F.col("weight").alias("_w")), ["repeat", "fold"])
+    own = windows.join(F.broadcast(learned.select("repeat", "fold", F.col("weight").alias("_w"))), ["repeat", "fold"])
     tried = [F.struct(F.lit("fixed").alias("candidate"), F.lit(w).alias("weight"), F.lit(w).alias("at")) for w in weights]
     tried.append(F.struct(F.lit("nested").alias("candidate"), F.lit(median).alias("weight"), F.col("_w").alias("at")))
     b = own.withColumn("_t", F.explode(F.array(*tried))).select("*", "_t.*").withColumn("p", F.round((1 - F.col("at")) * F.col(p1) + F.col("at") * F.col(p2), 12))

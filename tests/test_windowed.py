@@ -6,6 +6,7 @@ import statistics as st
 import numpy as np
 import pytest
 
+from gapseries.operators import choice
 from gapseries.operators import features as ft
 from gapseries.plans import more  # noqa: F401 - adds to the queries
 from gapseries.plans.queries import QUERIES, near
@@ -48,3 +49,9 @@ def test_rounding_is_that_of_decimals(spark):
 def test_year_statistics_take_no_buffers_of_values(spark):
     plan = QUERIES["aggregates_all_channels"](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan and "channel#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_learned_weights_do_not_put_a_repeat_into_one_task(spark):
+    rows = spark.createDataFrame([(i % 2, i % 5, i % 3 % 2, i / 40, 1 - i / 50) for i in range(40)], "repeat int, fold int, label int, p1 double, p2 double")
+    plan = choice.nested(rows, "repeat", "fold", "p1", "p2", "label")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 3  # both uses of the weights left, and the best ones
