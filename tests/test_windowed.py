@@ -6,9 +6,9 @@ import statistics as st
 import numpy as np
 import pytest
 
-from gapseries.operators import choice
+from gapseries.operators import adapt, choice
 from gapseries.operators import features as ft
-from gapseries.plans import more  # noqa: F401 - adds to the queries
+from gapseries.plans import chosen, more  # noqa: F401 - adds to the queries
 from gapseries.plans.queries import QUERIES, near
 
 from compare import TABLES
@@ -55,3 +55,16 @@ def test_learned_weights_do_not_put_a_repeat_into_one_task(spark):
     rows = spark.createDataFrame([(i % 2, i % 5, i % 3 % 2, i / 40, 1 - i / 50) for i in range(40)], "repeat int, fold int, label int, p1 double, p2 double")
     plan = choice.nested(rows, "repeat", "fold", "p1", "p2", "label")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") >= 3  # both uses of the weights left, and the best ones
+
+
+def test_importances_of_one_method_take_its_fits_alone(spark, monkeypatch):
+    swept = []
+
+    def sweep(rows, features, key, label, methods, **more):
+        swept.append((list(methods), more))
+        raise RuntimeError("swept")
+
+    monkeypatch.setattr(adapt, "sweep", sweep)
+    with pytest.raises(RuntimeError, match="swept"):
+        QUERIES["adaptation_importances"](spark, TABLES)
+    assert swept == [(["baseline"], {"score": False})]
