@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gapseries.operators import adapt
+from gapseries.operators import adapt, models
 
 
 def test_fits_need_one_column_of_gaps_for_features_missing_together(spark):
@@ -39,3 +39,13 @@ def test_a_feature_left_out_leaves_the_gaps_of_its_like(spark):
     assert scored.columns == ["id", "label", "method", "p"]
     assert scored.filter((F.col("p") > 0.5).cast("int") != F.col("label")).count() == 0
     assert [x["importance"] for x in gains.collect()] == pytest.approx([1.0, 1.0])
+
+
+def test_clusters_do_not_depend_on_how_rows_were_cut(spark):
+    r = random.Random(11)
+    rows = spark.createDataFrame([(i, i % 3, r.gauss(i % 4, 0.7), r.random()) for i in range(400)], "id int, fold int, x double, z double")
+    one, two = (sorted(map(tuple, models.cluster_holdout(rows.repartition(n, F.rand(n)), "id", ["x", "z"], "fold", 0).select("id", "cluster").collect())) for n in (1, 13))
+    assert one == two
+    made = models.packed(rows.repartition(13), "id")
+    assert made.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, rows.collect()))
