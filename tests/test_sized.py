@@ -49,3 +49,12 @@ def test_clusters_do_not_depend_on_how_rows_were_cut(spark):
     made = models.packed(rows.repartition(13), "id")
     assert made.rdd.getNumPartitions() == 1
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_cluster_balance_makes_its_rows_once(spark, monkeypatch):
+    from gapseries.plans import queries as plans
+
+    seen, clusters = [], models.clusters
+    monkeypatch.setattr(models, "clusters", lambda rows, features: (seen.append(rows.storageLevel.useMemory), clusters(rows, features))[1])
+    plans.QUERIES["cluster_balance"](spark, "/root/testdata/sf0.001")
+    assert seen == [True]
