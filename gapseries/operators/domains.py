@@ -107,8 +107,8 @@ def weighted(rows: DataFrame, group: str, domain: str) -> DataFrame:
 def out_of_fold(rows: DataFrame, features: list[str], group: str, domain: str, kind: str = "gbt") -> tuple[DataFrame, DataFrame]:
     """(rows with p, importances by fold): each fold is predicted by a model fitted with weights on the groups of the others.
 
-    The folds' fits run side by side, FITS at a time, over one cached matrix."""
-    data = weighted(rows, group, domain).withColumn(domain, F.col(domain).cast("double")).persist()
+    The folds' fits run side by side, FITS at a time, over one cached matrix in tasks by its number of rows."""
+    data = models.packed(weighted(rows, group, domain).withColumn(domain, F.col(domain).cast("double")), group, *features)
     folds = sorted(r[0] for r in data.select("fold").distinct().collect())
 
     def fit(h: int):
