@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gapseries.operators import adapt, models
+from gapseries.operators import adapt, domains, models
 
 
 def test_fits_need_one_column_of_gaps_for_features_missing_together(spark):
@@ -58,3 +58,14 @@ def test_cluster_balance_makes_its_rows_once(spark, monkeypatch):
     monkeypatch.setattr(models, "clusters", lambda rows, features: (seen.append(rows.storageLevel.useMemory), clusters(rows, features))[1])
     plans.QUERIES["cluster_balance"](spark, "/root/testdata/sf0.001")
     assert seen == [True]
+
+
+def test_domain_fits_do_not_depend_on_how_rows_were_cut(spark):
+    r = random.Random(2)
+    rows = spark.createDataFrame([(f"g{i}", i % 2, i % 2 + (i // 2) % 2 * 2, r.gauss(i % 2, 1), r.random()) for i in range(80) for _ in range(2)], "group_id string, domain int, f int, a double, b double")
+    rows = rows.select("group_id", "domain", (F.col("f") >= 2).cast("int").alias("fold"), "a", "b")
+    found = [domains.out_of_fold(rows.repartition(n, F.rand(n)), ["a", "b"], "group_id", "domain") for n in (1, 11)]
+    one, two = (sorted(map(tuple, scored.collect())) for scored, _ in found)
+    assert one == two
+    assert sorted(map(tuple, found[0][1].collect())) == sorted(map(tuple, found[1][1].collect()))
+    assert found[1][0].rdd.getNumPartitions() <= 2
