@@ -104,8 +104,9 @@ def weighted(rows: DataFrame, group: str, domain: str) -> DataFrame:
     return j.withColumns({"validation_weight": F.try_element_at("_v", F.col("fold")) / F.col("_n"), "train_weights": F.transform_values(others, lambda _, s: s / F.col("_n"))}).drop("_n", "_t", "_v")
 
 
-def out_of_fold(rows: DataFrame, features: list[str], group: str, domain: str, kind: str = "gbt") -> tuple[DataFrame, DataFrame]:
-    """(rows with p, importances by fold): each fold is predicted by a model fitted with weights on the groups of the others.
+def out_of_fold(rows: DataFrame, features: list[str], group: str, domain: str, kind: str = "gbt", score: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    """(rows with p, importances by fold): each fold is predicted by a model fitted with weights on the groups of the others; without score,
+    nothing is predicted and the first is None.
 
     The folds' fits run side by side, FITS at a time, over one cached matrix in tasks by its number of rows."""
     data = models.packed(weighted(rows, group, domain).withColumn(domain, F.col(domain).cast("double")), group, *features)
@@ -117,10 +118,12 @@ def out_of_fold(rows: DataFrame, features: list[str], group: str, domain: str, k
 
     with ThreadPoolExecutor(FITS) as pool:
         fitted = dict(zip(folds, pool.map(fit, folds), strict=True))
-    parts = [m.transform(data.filter(F.col("fold") == h)).withColumn("p", vector_to_array("probability")[1]).select(*rows.columns, "p") for h, m in fitted.items()]
     gains = [(c, int(h), float(x)) for h, m in fitted.items() if hasattr(m.stages[-1], "featureImportances") for c, x in zip(features, m.stages[-1].featureImportances.toArray(), strict=True)]
-    scored = reduce(DataFrame.unionByName, parts).withColumn(domain, F.col(domain).cast("int")).persist()
-    scored.count()
+    scored = None
+    if score:
+        parts = [m.transform(data.filter(F.col("fold") == h)).withColumn("p", vector_to_array("probability")[1]).select(*rows.columns, "p") for h, m in fitted.items()]
+        scored = reduce(DataFrame.unionByName, parts).withColumn(domain, F.col(domain).cast("int")).persist()
+        scored.count()
     data.unpersist()
     return scored, rows.sparkSession.createDataFrame(gains, "feature string, fold int, importance double")
 

@@ -81,8 +81,8 @@ def domain_validation(s, d):
 @query
 def domain_importances(s, d):
     """What boosted trees that tell the sides apart split on: mean importance of each feature over folds, beside how far the sides' entity means are apart."""
-    r = domain_rows(s, d)
-    _, gains = dm.out_of_fold(r.drop("train_weights", "validation_weight"), FEATURES, "group_id", "domain")
+    r = materialize(domain_rows(s, d).select("group_id", "domain", "fold", *FEATURES), "fitted")
+    _, gains = dm.out_of_fold(r, FEATURES, "group_id", "domain", score=False)
     entity = r.groupBy("domain", "group_id").agg(*[F.avg(c).alias(c) for c in FEATURES])
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in FEATURES]))
     shift = oof.shift_table(entity.select("domain", cells.alias("c")).select("domain", "c.*"))

@@ -69,3 +69,11 @@ def test_domain_fits_do_not_depend_on_how_rows_were_cut(spark):
     assert one == two
     assert sorted(map(tuple, found[0][1].collect())) == sorted(map(tuple, found[1][1].collect()))
     assert found[1][0].rdd.getNumPartitions() <= 2
+
+
+def test_fits_read_what_was_written(spark):
+    rows = spark.createDataFrame([(f"g{i}", i % 2, i // 2 % 2, i % 7 / 7) for i in range(60)], "group_id string, domain int, fold int, a double")
+    assert "parquet" in models.packed(rows, "group_id")._jdf.queryExecution().analyzed().toString()
+    scored, gains = domains.out_of_fold(rows, ["a"], "group_id", "domain", score=False)
+    assert scored is None
+    assert sorted(map(tuple, gains.collect())) == sorted(map(tuple, domains.out_of_fold(rows, ["a"], "group_id", "domain")[1].collect()))
