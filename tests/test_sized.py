@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapseries.operators import adapt, domains, models
+from gapseries.sources import stored
 
 
 def test_fits_need_one_column_of_gaps_for_features_missing_together(spark):
@@ -77,3 +78,24 @@ def test_fits_read_what_was_written(spark):
     scored, gains = domains.out_of_fold(rows, ["a"], "group_id", "domain", score=False)
     assert scored is None
     assert sorted(map(tuple, gains.collect())) == sorted(map(tuple, domains.out_of_fold(rows, ["a"], "group_id", "domain")[1].collect()))
+
+
+def test_windows_are_not_dealt_out_again(spark):
+    from gapseries.plans import queries as plans
+
+    plan = plans.originals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(entity_id" in plan
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "window_length" in x]
+
+
+def test_model_pairs_makes_its_rows_once(spark, monkeypatch):
+    from gapseries.plans import more
+    from gapseries.plans import queries as plans
+
+    monkeypatch.setattr(stored, "SPREAD", 10)
+    df = more.model_pairs(spark, "/root/testdata/sf0.001")
+    assert "l_suppkey" not in df._jdf.queryExecution().analyzed().toString()
+    n = plans.originals(spark, "/root/testdata/sf0.001").count()
+    rows = stored.spread(plans.originals(spark, "/root/testdata/sf0.001"), 3, "rows")
+    assert rows.rdd.getNumPartitions() == n * 3 // 10 + 1
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, plans.originals(spark, "/root/testdata/sf0.001").collect()))
