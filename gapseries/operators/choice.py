@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapseries.sources.stored import spread
+
 from . import evaluation as ev
 from . import oof, ordered
 
@@ -97,8 +99,10 @@ def nested(rows: DataFrame, repeat: str, fold: str, p1: str, p2: str, label: str
     auc, combined, brier and log_loss.
 
     Rows are counted once, by their own fold; the counts of the others are sums of counts. Only weights that can win are ranked. Weights are
-    broadcast (k + 1 rows at most for each repeat and fold), as a join by repeat would put all rows into a task for each repeat."""
+    broadcast (k + 1 rows at most for each repeat and fold), as a join by repeat would put all rows into a task for each repeat. Rows are
+    spread first, as in evaluation.blend_grid."""
     keys = [repeat, fold]
+    rows = spread(rows.select(*keys, label, p1, p2), k + 1, "blended")
     own = flips(rows, keys, p1, p2, label, k)
     table = swept(_but_one(own, [repeat], fold, ["at", "up", "y"], ["n", "a", "b", "c"]), keys, k)
     bounds = auc_bounds(_but_one(score_cells(rows, keys, p1, p2, label, k), [repeat], fold, ["wi", "cell"], ["pos", "neg"]), keys)

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gapseries.operators import adapt, domains, models
+from gapseries.operators import adapt, choice, domains, models
+from gapseries.operators import evaluation as ev
 from gapseries.sources import stored
 
 
@@ -99,3 +100,17 @@ def test_model_pairs_makes_its_rows_once(spark, monkeypatch):
     rows = stored.spread(plans.originals(spark, "/root/testdata/sf0.001"), 3, "rows")
     assert rows.rdd.getNumPartitions() == n * 3 // 10 + 1
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, plans.originals(spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_blends_are_made_in_tasks_of_few_rows(spark, monkeypatch):
+    r = random.Random(5)
+    rows = spark.createDataFrame([(0, i % 2, int(r.random() < 0.5), round(r.random(), 3), round(r.random(), 3)) for i in range(60)], "repeat int, fold int, label int, p1 double, p2 double").coalesce(1)
+    grid, nested = (lambda: ev.blend_grid(rows, ["repeat"], "p1", "p2", "label")), (lambda: choice.nested(rows, "repeat", "fold", "p1", "p2", "label"))
+    whole = [{tuple(x)[:2]: x.asDict() for x in f().collect()} for f in (grid, nested)]
+    monkeypatch.setattr(stored, "SPREAD", 500)
+    for f, want in zip((grid, nested), whole, strict=True):
+        df = f()
+        assert f"Repartition {60 * 101 // 500 + 1}, true" in df._jdf.queryExecution().analyzed().toString()
+        got = {tuple(x)[:2]: x.asDict() for x in df.collect()}
+        assert set(got) == set(want)
+        assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
