@@ -114,3 +114,11 @@ def test_blends_are_made_in_tasks_of_few_rows(spark, monkeypatch):
         got = {tuple(x)[:2]: x.asDict() for x in df.collect()}
         assert set(got) == set(want)
         assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_fingerprints_hash_each_row_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    said = F.udf(lambda x: made.add(1) or x, "long")
+    want = stored.stretch_of(spark.range(0, 2000, 1, 4).select("id", F.col("id").alias("x")), ["id"])
+    assert stored.stretch_of(spark.range(0, 2000, 1, 7).select("id", said("id").alias("x")), ["id"]) == want
+    assert want[0] == made.value == 2000
