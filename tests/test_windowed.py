@@ -9,7 +9,7 @@ import pytest
 from gapseries.operators import adapt, choice
 from gapseries.operators import features as ft
 from gapseries.plans import chosen, more  # noqa: F401 - adds to the queries
-from gapseries.plans.queries import QUERIES, near
+from gapseries.plans.queries import QUERIES, arrays, near, near_cells, panel
 
 from compare import TABLES
 
@@ -44,6 +44,25 @@ def test_rounding_is_that_of_decimals(spark):
     rows = [(x,) for x in [None, 0.0, -0.0, 0.5, 2.5e-6, 1e15, -1e300, float("inf"), 123456.7890125, -3.1415925] + [r.uniform(-1e4, 1e4) for _ in range(500)]]
     df = spark.createDataFrame(rows, "x double").selectExpr("x", "round(x + 3e-10D, 6) + 0D as want").withColumn("got", near("x"))
     assert df.filter("not (got <=> want)").count() == 0
+    want = [np.nan if x is None else x for (x,) in df.select("want").collect()]
+    cells = np.array([[np.nan if x is None else x for (x,) in rows]])
+    assert np.array_equal(near_cells(cells)[0], want, equal_nan=True)
+    assert not np.signbit(near_cells(np.array([-1e-7, -0.0, -3e-10]))).any()
+
+
+def test_channels_are_made_where_their_windows_are(spark, monkeypatch):
+    monkeypatch.setattr(ft, "BLOCK", 2)
+    keys = panel(spark, TABLES).select("entity_id").distinct().count()
+    made = arrays(spark, TABLES)
+    assert made.rdd.getNumPartitions() == max((keys // 2 + 1) // 4, min(keys // 2 + 1, spark.sparkContext.defaultParallelism)) > 8
+    above, dealt, below = arrays(spark, TABLES)._jdf.queryExecution().executedPlan().toString().partition("REPARTITION_BY_NUM")
+    assert dealt and "radar__vv_minus_vh" in above and "radar__vv_minus_vh" not in below
+
+
+def test_cells_without_a_value_are_null():
+    x = np.array([[1.5, np.nan, -0.0], [np.nan, np.inf, 2.0]])
+    assert ft.nullable(x.T).to_pylist() == [1.5, None, None, np.inf, -0.0, 2.0]
+    assert ft.nullable(x[:0]).to_pylist() == []
 
 
 def test_year_statistics_take_no_buffers_of_values(spark):
