@@ -121,15 +121,14 @@ def blend_reports(windows: DataFrame, learned: DataFrame, original: str, p1: str
 
     Candidates are the fixed weights and the median of the learned ones on the grid. Of those within NEAR_BEST of the best robust score
     the one nearest to one half is chosen, then that of the higher mean combined score. nested is every window at its own fold's learned
-    weight: how the rule of learning does, not a candidate. All are scored in one pass over the windows."""
+    weight: how the rule of learning does, not a candidate. All are scored in one pass over the windows, side by side."""
     median = oof.production_weight(learned, 1 / k).first()["weight"]
     weights = sorted({round(float(w), 10) for w in (*fixed, median)})
     own = windows.join(F.broadcast(learned.select("repeat", "fold", F.col("weight").alias("_w"))), ["repeat", "fold"])
-    tried = [F.struct(F.lit("fixed").alias("candidate"), F.lit(w).alias("weight"), F.lit(w).alias("at")) for w in weights]
-    tried.append(F.struct(F.lit("nested").alias("candidate"), F.lit(median).alias("weight"), F.col("_w").alias("at")))
-    b = own.withColumn("_t", F.explode(F.array(*tried))).select("*", "_t.*").withColumn("p", F.round((1 - F.col("at")) * F.col(p1) + F.col("at") * F.col(p2), 12))
-    keys = ["candidate", "weight"]
-    r = ev.robust_of_levels(ev.level_metrics(b, [*keys, "repeat"], original, "p", label), keys)
+    tried = [("fixed", w, F.lit(w)) for w in weights] + [("nested", median, F.col("_w"))]
+    b = own.withColumns({f"_b{i}": F.round((1 - at) * F.col(p1) + at * F.col(p2), 12) for i, (_, _, at) in enumerate(tried)})
+    scores = [((F.lit(how).alias("candidate"), F.lit(float(w)).alias("weight")), f"_b{i}") for i, (how, w, _) in enumerate(tried)]
+    r = ev.robust_of_levels(ev.level_metrics_of(b, ["repeat"], original, label, scores), ["candidate", "weight"])
     return _marked(r)
 
 

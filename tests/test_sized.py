@@ -43,6 +43,43 @@ def test_a_feature_left_out_leaves_the_gaps_of_its_like(spark):
     assert [x["importance"] for x in gains.collect()] == pytest.approx([1.0, 1.0])
 
 
+def test_slices_by_number_are_those_by_name(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice([None, 3, 4, 5, 6]), r.choice([None, *range(1, 10)]), r.choice([None, 0, 1, 2, 5]), r.randint(0, 6), r.randint(0, 6)) for i in range(400)]
+    w = spark.createDataFrame(rows, "i int, window_length int, window_start int, gaps int, radar_months int, optical_months int")
+    named = w.select("i", F.explode(ev.slices()).alias("s")).select("i", "s.*")
+    level, value = ev.slice_names(F.col("code"))
+    coded = w.select("i", F.explode(ev.slice_codes()).alias("code")).filter("code is not null").select("i", level, value)
+    assert sorted(map(repr, map(tuple, named.collect()))) == sorted(map(repr, map(tuple, coded.collect())))
+    plan = ev.level_metrics(w.withColumns({"p": F.lit(0.5), "y": F.lit(1), "fold": F.lit(0)}), ["i"], "i", "p", "y")._jdf.queryExecution().executedPlan().toString()
+    assert "slice_group" not in plan and "lambda" not in plan
+
+
+def test_scores_side_by_side_are_those_one_by_one(spark):
+    r = random.Random(6)
+    rows = [(k, t, k % 2, k // 2 % 2, n, s, n, r.randint(0, n), r.random(), r.random()) for k in range(30) for t in range(2) for n in (4, 5, 6) for s in (1, 4, 7)]
+    w = spark.createDataFrame(rows, "k int, repeat int, y int, fold int, window_length int, window_start int, radar_months int, optical_months int, a double, b double")
+    w = w.withColumn("gaps", F.col("radar_months") - F.col("optical_months"))
+    both = ev.level_metrics_of(w, ["repeat"], "k", "y", [((F.lit(c).alias("name"), F.lit(i).alias("i")), c) for i, c in enumerate("ab")])
+    assert both.columns[:5] == ["name", "i", "repeat", "level", "value"]
+    for c in "ab":
+        alone = {(x["repeat"], x["level"], x["value"]): x for x in ev.level_metrics(w, ["repeat"], "k", c, "y").collect()}
+        own = {(x["repeat"], x["level"], x["value"]): x for x in both.filter(F.col("name") == c).collect()}
+        assert set(own) == set(alone) and len(own) > 30
+        for at, x in alone.items():
+            assert [own[at][f] for f in alone[at].asDict()] == pytest.approx(list(x), abs=1e-12)
+
+
+def test_blends_are_sliced_once(spark):
+    rows = [(k, t, k % 2, k // 2 % 5, n, s, n, n, 0, k % 7 / 7, k % 5 / 5) for k in range(20) for t in range(2) for n in (4, 5, 6) for s in (1, 4, 7)]
+    w = spark.createDataFrame(rows, "k int, repeat int, y int, fold int, window_length int, window_start int, radar_months int, optical_months int, gaps int, a double, b double")
+    learned = spark.createDataFrame([(t, f, 0.3) for t in range(2) for f in range(5)], "repeat int, fold int, weight double")
+    plan = choice.blend_reports(w, learned, "k", "a", "b", "y")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    sliced = max(i for i, x in enumerate(lines) if "Generate explode" in x)  # the lowest: slices, straight from the windows
+    assert not [x for x in lines[sliced + 1 :] if "candidate" in x]
+
+
 def test_clusters_do_not_depend_on_how_rows_were_cut(spark):
     r = random.Random(11)
     rows = spark.createDataFrame([(i, i % 3, r.gauss(i % 4, 0.7), r.random()) for i in range(400)], "id int, fold int, x double, z double")
