@@ -80,6 +80,29 @@ def test_blends_are_sliced_once(spark):
     assert not [x for x in lines[sliced + 1 :] if "candidate" in x]
 
 
+def test_tasks_of_a_fit_follow_rows_and_cores():
+    assert [adapt.tasks(n, 12) for n in (0, 33_600, 336_000, 2_016_000, 12_096_000)] == [1, 1, 3, 4, 24]
+    assert adapt.tasks(336_000, 4) == 1
+
+
+def test_a_fold_is_read_once_for_all_methods_and_gaps_are_not_written(spark, monkeypatch):
+    written, r = {}, random.Random(8)
+    monkeypatch.setattr(adapt, "materialize", lambda df, name, *by: written.setdefault(name, df) and stored.materialize(df, name, *by))
+    rows = spark.createDataFrame([(i, 0, i % 2, int(r.random() < 0.5), r.random(), r.random(), "x") for i in range(120)], "id int, repeat int, fold int, label int, x double, z double, other string")
+    methods = {"all": adapt.Method(), "less": adapt.Method(removed=("x",)), "again": adapt.Method()}
+    scored, gains = adapt.sweep(rows, ["x", "z"], "id", "label", methods, iterations=2, keep=["id", "label"])
+    assert not [c for c in written["adapt"].columns if c.endswith(("__filled", "__missing"))]
+    assert written["adapted"]._jdf.queryExecution().analyzed().toString().count("Relation [") == 2  # one for each fold
+    assert scored.groupBy("method").count().filter("count = 120").count() == 3
+    p = {m: sorted(map(tuple, scored.filter(F.col("method") == m).select("id", "p").collect())) for m in methods}
+    assert p["all"] == p["again"] != p["less"]
+    alone = adapt.sweep(rows, ["x", "z"], "id", "label", {"less": methods["less"]}, iterations=2, keep=["id", "label"])[0]
+    assert p["less"] == sorted(map(tuple, alone.select("id", "p").collect()))
+    written.clear()
+    assert adapt.sweep(rows, ["x", "z"], "id", "label", {"all": adapt.Method()}, iterations=2, score=False)[0] is None
+    assert "other" not in written["adapt"].columns
+
+
 def test_clusters_do_not_depend_on_how_rows_were_cut(spark):
     r = random.Random(11)
     rows = spark.createDataFrame([(i, i % 3, r.gauss(i % 4, 0.7), r.random()) for i in range(400)], "id int, fold int, x double, z double")
